@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
     room = F.floor("target").cast("bigint") - start
     copies = [F.greatest(F.lit(0), F.least(F.col("size"), room - F.col("source_size") * e)) for e in range(cap)]
     taken = sum(copies[1:], copies[0])
-    position = F.when(taken > 0, F.round(_time(start, F.col("target"), F.col("slope")), 6))
+    position = F.when(taken > 0, F.abs(F.round(_time(start, F.col("target"), F.col("slope")), 6)))
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), position.alias("position"))
 
 
