@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.graph import lookup
 from marlstone.llm.store import saved
 
 BITS_PER_ROW = 16
@@ -38,11 +39,11 @@ def flag_maybe(rows: DataFrame, hashed: str, words: DataFrame, bits: int, hashes
     small = words.count() <= broadcast_words
     hit = F.lit(True)
     for j, slot in enumerate(_slots(F.col(hashed), bits, hashes)):
-        rows = rows.withColumn(f"_slot{j}", slot)
-        side = words.select(F.col("word").alias(f"_word{j}"), F.col("bits").alias(f"_bits{j}"))
-        rows = rows.join(F.broadcast(side) if small else side, F.expr(f"shiftright(_slot{j}, 6)") == F.col(f"_word{j}"), "left")
-        hit = hit & F.expr(f"coalesce(getbit(_bits{j}, cast(_slot{j} & 63 as int)), 0) = 1")
-    return rows.withColumn("_maybe", hit).drop(*[f"_{k}{j}" for j in range(hashes) for k in ("slot", "word", "bits")])
+        rows = rows.withColumn(f"__ms_slot{j}", slot)
+        side = words.select(F.col("word").alias(f"__ms_word{j}"), F.col("bits").alias(f"__ms_bits{j}"))
+        rows = rows.join(F.broadcast(side) if small else side, F.expr(f"shiftright(__ms_slot{j}, 6)") == F.col(f"__ms_word{j}"), "left")
+        hit = hit & F.expr(f"coalesce(getbit(__ms_bits{j}, cast(__ms_slot{j} & 63 as int)), 0) = 1")
+    return rows.withColumn("__ms_maybe", hit).drop(*[f"__ms_{k}{j}" for j in range(hashes) for k in ("slot", "word", "bits")])
 
 
 def annotate(docs: DataFrame, **filter_options: int) -> DataFrame:
@@ -54,14 +55,14 @@ def annotate(docs: DataFrame, **filter_options: int) -> DataFrame:
     An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.xxhash64(text).alias("_hash"))
+    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.xxhash64(text).alias("__ms_hash"))
     rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "hashes")
-    words, bits = repeated_bits(rows, "_hash", **filter_options)
-    flagged = flag_maybe(rows, "_hash", words, bits, filter_options.get("hashes", HASHES))
-    unique = flagged.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = flagged.filter("_maybe")
-    groups = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    repeated = maybe.join(groups, F.col("text_sha256") == F.col("_sha")).select(
+    words, bits = repeated_bits(rows, "__ms_hash", **filter_options)
+    flagged = flag_maybe(rows, "__ms_hash", words, bits, filter_options.get("hashes", HASHES))
+    unique = flagged.filter("not __ms_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = flagged.filter("__ms_maybe")
+    groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
+    repeated = lookup(maybe, groups, "text_sha256", "group_size", rows.count()).select(
         "doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256"
     )
     return unique.unionByName(repeated)
@@ -73,12 +74,12 @@ def drop_copies(docs: DataFrame, **filter_options: int) -> DataFrame:
     Rows that the filter clears are not shuffled; the others meet the ids to keep.
     """
     hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keys = saved(docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_sha"), hashed.alias("_hash")), "hashes")
-    words, bits = repeated_bits(keys, "_hash", **filter_options)
+    keys = saved(docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("__ms_sha"), hashed.alias("__ms_hash")), "hashes")
+    words, bits = repeated_bits(keys, "__ms_hash", **filter_options)
     hashes = filter_options.get("hashes", HASHES)
-    keep = flag_maybe(keys, "_hash", words, bits, hashes).filter("_maybe").groupBy("_sha").agg(F.max("doc_id").alias("_keep_id"))
-    flagged = flag_maybe(docs.withColumn("_hash", hashed), "_hash", words, bits, hashes).drop("_hash")
-    maybe = flagged.filter("_maybe").withColumn("_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    match = (F.col("_text_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    stays = maybe.join(keep, match, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
-    return flagged.filter("not _maybe").select(*docs.columns).unionByName(stays.select(*docs.columns))
+    keep = flag_maybe(keys, "__ms_hash", words, bits, hashes).filter("__ms_maybe").groupBy("__ms_sha").agg(F.max("doc_id").alias("__ms_keep_id"))
+    flagged = flag_maybe(docs.withColumn("__ms_hash", hashed), "__ms_hash", words, bits, hashes).drop("__ms_hash")
+    maybe = flagged.filter("__ms_maybe").withColumn("__ms_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    match = (F.col("__ms_text_sha") == F.col("__ms_sha")) & F.col("doc_id").eqNullSafe(F.col("__ms_keep_id"))
+    stays = maybe.join(keep, match, "left_semi").dropDuplicates(["doc_id", "__ms_text_sha"])
+    return flagged.filter("not __ms_maybe").select(*docs.columns).unionByName(stays.select(*docs.columns))
