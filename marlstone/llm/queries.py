@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, exact, mixing, simhash, substrings
+from marlstone.llm import decontam, exact, lines, mixing, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,17 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.annotate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_mix_sources": op9_mix_sources,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
@@ -106,4 +111,22 @@ SQL = {
                CASE WHEN taken > 0 THEN abs(round(CASE WHEN abs(slope) < 1e-9 THEN begins / target
                     ELSE (sqrt((1.0 - slope) * (1.0 - slope) + slope * (begins / target) * 4) - (1.0 - slope)) / (slope * 2) END, 6)) END AS position
         FROM taken""",
+    "op10_line_dedup": r"""
+        WITH parts AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS part
+            FROM documents),
+        marked AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM parts),
+        units AS (SELECT doc_id, body, part, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS k FROM marked WHERE body <> ''),
+        windows AS (
+            SELECT doc_id, k, md5(body || chr(10) || lead(body) OVER w || chr(10) || lead(body, 2) OVER w) AS h
+            FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        later AS (
+            SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS nth FROM windows WHERE h IS NOT NULL) WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 3)) AS k FROM later),
+        lost AS (SELECT DISTINCT doc_id, part FROM gone JOIN units USING (doc_id, k)),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY part) AS text FROM parts ANTI JOIN lost USING (doc_id, part) GROUP BY doc_id)
+        SELECT d.doc_id, (SELECT count(*) FROM units u WHERE u.doc_id = d.doc_id) AS n_lines,
+               (SELECT count(*) FROM lost l WHERE l.doc_id = d.doc_id) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id)""",
 }
