@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, exact, lines, mixing, quality, simhash, substrings
+from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.annotate(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.annotate(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -45,11 +49,49 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
 
+def _license_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    wide = lambda x: x.replace(" ", "  ")
+    rows = ", ".join(f"({i}, {text(r.label)}, {licenses.RANKS[r.kind][0]}, {licenses.RANKS[r.kind][1]}, {text(wide(r.keyword))}, {text(r.pattern)})" for i, r in enumerate(licenses.RULES))
+    base = ", ".join(f"({text(wide(phrase))}, {text(label)}, {phrase.count(' ') + 1})" for phrase, label in licenses.BASE.items())
+    return rf"""
+        WITH rules AS (SELECT * FROM (VALUES {rows}) r(id, label, rank, score, keyword, pattern)),
+        base AS (SELECT * FROM (VALUES {base}) b(phrase, label, size)),
+        docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        texts AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN '' ELSE ' ' || array_to_string(w, '  ') || ' ' END AS c FROM docs),
+        phrases AS (
+            SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda k: array_to_string(list_slice(w, k + 1, k + size), '  ') = phrase)) AS k
+            FROM texts JOIN base ON contains(c, ' ' || phrase || ' ')),
+        counted AS (
+            SELECT doc_id, count(*) AS n, min(k) AS first_word, max(k) AS last_word, list_distinct(list(label)) AS labels FROM phrases GROUP BY doc_id),
+        marked AS (
+            SELECT doc_id, id, label, rank, score, string_split(trim(regexp_replace(c, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g')), '  ') AS m
+            FROM texts JOIN rules ON contains(c, keyword) AND regexp_matches(c, pattern)),
+        spans AS (
+            SELECT doc_id, id, label, rank, score,
+                   unnest(list_filter(range(0, len(m)), lambda k: starts_with(m[k + 1], chr(1)))) AS a,
+                   unnest(list_filter(range(0, len(m)), lambda k: ends_with(m[k + 1], chr(2)))) + 1 AS b
+            FROM marked),
+        kept AS (
+            SELECT * FROM spans x WHERE NOT EXISTS (
+                SELECT 1 FROM spans y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.b >= x.b
+                AND (y.rank < x.rank OR y.rank = x.rank AND (y.b - y.a > x.b - x.a OR y.b - y.a = x.b - x.a AND y.id < x.id)))),
+        best AS (SELECT doc_id, max(score)::DOUBLE AS score, list_distinct(list(label)) AS labels FROM kept GROUP BY doc_id)
+        SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(array_to_string(list_sort(c.labels), ','), '') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(c.labels, []), coalesce(b.labels, [])))), ',') AS labels,
+               greatest(coalesce(b.score, 0), CASE WHEN n > 0 THEN {licenses.BASE_SCORE} ELSE 0 END)::DOUBLE AS score
+        FROM texts t LEFT JOIN counted c USING (doc_id) LEFT JOIN best b USING (doc_id)"""
+
+
 SQL = {
     "op5_substring_dedup": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -66,6 +108,7 @@ SQL = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g USING (text)""",
+    "op7_license_scan": _license_sql(),
     "op8_benchmark_decontamination": r"""
         WITH docs AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
