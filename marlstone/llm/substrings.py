@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from marlstone.llm import tokens
 
 WINDOW = 50
-#: Addresses a shuffle partition, and the text in one of them at most on average.
-ADDRESSES = 2
+#: Addresses a shuffle partition (messages between addresses grow with their square), and the text in one of them at most on average.
+ADDRESSES = 1
 ADDRESS_BYTES = 16 << 20
 
 _MESSAGE = "addr int, body binary"
