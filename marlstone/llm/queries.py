@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, simhash, substrings
+from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, secrets, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.annotate(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
@@ -55,6 +60,37 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+def _secret_sql() -> str:
+    """Positions of a rule's matches: the text between them, split off by the same pattern, and the matches before."""
+    both = {"(?i:password|passwd|secret|token|api_?key)": "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"}
+    parts = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern
+        for folded, spelled in both.items():
+            pattern = pattern.replace(folded, spelled)
+        pattern = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {number} AS k, '{rule.kind}' AS kind, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g,"
+            f" regexp_split_to_array(text, '{pattern}') AS s, {rule.least} AS least FROM texts WHERE regexp_matches(text, '{pattern}')"
+        )
+    kinds = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE)
+    sums = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    return rf"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        found AS ({' UNION ALL '.join(parts)}),
+        one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+        spans AS (
+            SELECT doc_id, k, kind, len(m[i]) AS size, list_sum(list_transform(s[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS a
+            FROM one WHERE len(g[i]) >= least),
+        texts_of AS (SELECT *, kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT AS span FROM spans),
+        joined AS (
+            SELECT doc_id, {sums}, string_agg(span, ',' ORDER BY a, k) FILTER (kind IN ({kinds})) AS base, string_agg(span, ',' ORDER BY a, k) AS spans
+            FROM texts_of GROUP BY doc_id)
+        SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN joined USING (doc_id)"""
+
+
 def _license_sql() -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
     wide = lambda x: x.replace(" ", "  ")
@@ -93,6 +129,7 @@ def _license_sql() -> str:
 
 
 SQL = {
+    "op2_secret_scan": _secret_sql(),
     "op5_substring_dedup": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         places AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)),
