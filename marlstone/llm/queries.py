@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, secrets, simhash, substrings
+from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, secrets, simhash, substrings, transcripts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(table(spark, sf_dir, "documents"))
 
 
+def op4_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    parsed = transcripts.parse(turns.drop("role"), transcripts.train(turns))
+    return transcripts.rendered(parsed).select("conv_id", "turn", "role", "rendered")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.annotate(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_transcript_parsing": op4_transcript_parsing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
