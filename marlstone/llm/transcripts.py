@@ -228,7 +228,7 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
 
 def rendered(parsed: DataFrame) -> DataFrame:
     """``parse``'s rows with ``rendered``: the canonical turn, without the marker it came with."""
-    body = F.trim(_body(F.col("text")))
+    body = F.btrim(_body(F.col("text")), F.lit(" \t\r\n"))
     return parsed.withColumn("rendered", F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), body, F.lit("<|im_end|>")))
 
 
