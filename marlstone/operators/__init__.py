@@ -1 +1 @@
-
+"""Reusable DataFrame operators."""

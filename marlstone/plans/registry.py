@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from marlstone.plans import analytics  # noqa: F401
+from marlstone.plans.base import QUERIES, SQL  # noqa: F401
