@@ -1 +1 @@
-
+"""Scalar functions on text, vectors and names."""
