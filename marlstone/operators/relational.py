@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Numbers rows 1..n in ``order``, within ``by`` if given; the order should end in a key so that reruns agree."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)).cast("bigint"))
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None, name: str = "rank") -> DataFrame:

@@ -44,7 +44,7 @@ def _latest(spark, sf):
 def ratings_ingest(spark, sf):
     rows = _latest(spark, sf)
     kept = rows.groupBy("user_id").count().filter("count >= 30").select("user_id")
-    ids = kept.withColumn("u", F.row_number().over(Window.orderBy("user_id")) - 1)  # one row a user
+    ids = kept.withColumn("u", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("bigint"))  # one row a user
     return rows.join(ids, "user_id").select("u", "item_id", "rating")
 
 
@@ -261,7 +261,7 @@ def reconcile_ids(spark, sf):
 @query("WITH u AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS dense_id FROM (SELECT DISTINCT o_custkey FROM orders)) SELECT o_orderkey, dense_id FROM orders JOIN u USING (o_custkey)")
 def dense_remap(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    ids = orders.select("o_custkey").distinct().withColumn("dense_id", F.row_number().over(Window.orderBy("o_custkey")) - 1)  # one row a user
+    ids = orders.select("o_custkey").distinct().withColumn("dense_id", (F.row_number().over(Window.orderBy("o_custkey")) - 1).cast("bigint"))  # one row a user
     return orders.join(ids, "o_custkey").select("o_orderkey", "dense_id")
 
 
