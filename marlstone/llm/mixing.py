@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.store import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -74,7 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
         source_key(F.col("source")).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"),
-    ).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    )
+    rows = saved(rows.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)), "sizes")  # the texts are read once
     buckets = rows.groupBy("skey", "_bucket").agg(F.sum("size").alias("_words"))
     plan = targets(buckets.groupBy("skey").agg(F.sum("_words").alias("source_size")), weights, cap)
     before = Window.partitionBy("skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
