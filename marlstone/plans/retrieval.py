@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.vector import blend, centroids, dot, norm, unit
 from marlstone.operators import lexical, vectors
 from marlstone.operators.relational import fuse_ranks, ranked, top_k, z_scores
 from marlstone.plans.base import CATALOG, catalog, query, table
-from marlstone.plans.textual import _MARKUP, _markup_sql, plain_text  # noqa: F401
+from marlstone.plans.textual import _markup_sql, plain_text
 
 C = f"WITH {CATALOG} "
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
