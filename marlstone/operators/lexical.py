@@ -25,7 +25,7 @@ def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> I
     if stop:
         words = words.filter(~F.col("term").isin(*stop))
     postings = words.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    lengths = words.groupBy("key").agg(F.count("*").alias("dl"))
+    lengths = postings.groupBy("key").agg(F.sum("tf").alias("dl"))  # from the postings: the texts are tokenised once
     mean = F.broadcast(lengths.agg(F.avg("dl").alias("avgdl")))
     documents = lengths.crossJoin(mean).select("key", "dl", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("k"))
     size = F.broadcast(docs.agg(F.count("*").alias("n")))
