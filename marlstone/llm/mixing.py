@@ -99,7 +99,12 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with taken and position, in training order."""
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_mixed_id"), F.col("taken").alias("mix_taken"), F.col("position").alias("mix_position"))
-    rows = docs.join(plan.dropDuplicates(["_mixed_id"]), F.col("doc_id").eqNullSafe(F.col("_mixed_id"))).drop("_mixed_id")
-    return rows.orderBy("mix_position", "doc_id")
+    """The documents that the mix takes, with mix_taken and mix_position, in training order.
+
+    Columns of ``docs`` with these two names are replaced. Rows that repeat an id
+    all return as soon as one of them is taken, with the earliest of their places.
+    """
+    plan = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__ms_id")).agg(F.min(F.struct("position", "taken")).alias("__ms_place"))
+    rows = docs.drop("mix_taken", "mix_position").join(plan, F.col("doc_id").eqNullSafe(F.col("__ms_id")))
+    rows = rows.withColumn("mix_taken", F.col("__ms_place.taken")).withColumn("mix_position", F.col("__ms_place.position"))
+    return rows.drop("__ms_id", "__ms_place").orderBy("mix_position", "doc_id")

@@ -100,7 +100,7 @@ class _Walk:
 
     def cut(self) -> None:
         """What was followed so far is mandatory; what comes next is not known to join it."""
-        self.parts.append(_or([_trigrams(s) for s in self.now]))
+        self.parts.append(_or([_trigrams(s) for s in sorted(self.now)]))
         self.now = {""}
 
     def put(self, strings: set[str]) -> None:

@@ -62,3 +62,14 @@ def test_empty(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     out = mixing.mix(frame(spark, [(1, "a", None), (2, None, "")])).collect()
     assert all(r["taken"] == 0 and r["target"] == 0 for r in out)
+
+
+def test_documents_with_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b c", "x", 9, "p"), (1, "d e f g", "x", 9, "p"), (2, "h", None, 9, "p"), (None, "i j", "x", 9, "p"), (3, None, "y", 9, "p")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_taken int, position string")
+    first = mixing.mixed_documents(docs)
+    assert first.columns == ["doc_id", "text", "source", "position", "mix_taken", "mix_position"]
+    again = mixing.mixed_documents(docs.orderBy("text"))
+    key = lambda r: (r["doc_id"] or 0, r["text"])
+    assert sorted(first.collect(), key=key) == sorted(again.collect(), key=key)
+    assert {r["doc_id"] for r in first.collect()} <= {1, 2, None}
