@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
@@ -14,31 +14,49 @@ K1, B = 1.5, 0.75
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # key, term, tf
+    postings: DataFrame  # key, dl, term, tf
     documents: DataFrame  # key, dl, k
     terms: DataFrame  # term, df, idf
+    totals: DataFrame  # one row: n, avgdl
+
+
+def _length_norm() -> Column:
+    return K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+
+
+def _with_idf(postings: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf). df is summed over tf so that the plan reads the same columns as the postings' other readers and shares their exchange."""
+    counted = postings.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("bigint")).alias("df")).crossJoin(F.broadcast(totals.select("n")))
+    return counted.select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> Index:
-    """Documents without terms count in N but not in the mean length."""
-    words = docs.select(F.col(key).alias("key"), F.explode(tokens(F.col(text))).alias("term"))
+    """``key`` is unique. Documents without terms count in N but not in the mean length.
+
+    A posting carries its document's length, so scoring joins no lengths.
+    """
+    words = tokens(F.col(text))
     if stop:
-        words = words.filter(~F.col("term").isin(*stop))
-    postings = words.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    lengths = postings.groupBy("key").agg(F.sum("tf").alias("dl"))  # from the postings: the texts are tokenised once
-    mean = F.broadcast(lengths.agg(F.avg("dl").alias("avgdl")))
-    documents = lengths.crossJoin(mean).select("key", "dl", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("k"))
-    size = F.broadcast(docs.agg(F.count("*").alias("n")))
-    counted = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
-    terms = counted.select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, documents, terms)
+        words = F.filter(words, lambda w: ~w.isin(*stop))
+    rows = docs.select(F.col(key).alias("key"), words.alias("words"))
+    sized = rows.select("key", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).cast("bigint").alias("dl"), "words")
+    # outer, as a plain explode makes the planner test each text's words for emptiness, which finds them twice more
+    exploded = sized.select("key", "dl", F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
+    postings = exploded.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    lengths = sized.select("key", "dl")
+    totals = lengths.agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
+    documents = lengths.filter("dl > 0").crossJoin(F.broadcast(totals.select("avgdl"))).select("key", "dl", _length_norm().alias("k"))
+    return Index(postings, documents, _with_idf(postings, totals), totals)
 
 
 def search(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
     """(qid, key, lexical): the distinct terms of every query against the postings; unmatched documents score 0 and have no row.
 
-    The query terms, with their idf, meet the postings by term; the planner broadcasts them while they are small.
+    The postings are cut to the terms asked for before they are counted or
+    exchanged; the planner broadcasts those terms while they are small.
     """
-    asked = queries.select(qid, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.documents, "key")
+    asked = queries.select(qid, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    weighed = asked.join(_with_idf(postings, index.totals), "term").select(qid, "term", "idf")
+    hits = postings.join(weighed, "term").crossJoin(F.broadcast(index.totals.select("avgdl"))).withColumn("k", _length_norm())
     return hits.groupBy(qid, "key").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("k"))).alias("lexical"))

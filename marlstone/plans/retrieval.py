@@ -106,7 +106,7 @@ def _index(spark, sf):
 
 @query(f"WITH {BM} SELECT key AS doc_id, term, tf FROM tf")
 def bm25_postings(spark, sf):
-    return _index(spark, sf).postings.withColumnRenamed("key", "doc_id")
+    return _index(spark, sf).postings.select(F.col("key").alias("doc_id"), "term", "tf")
 
 
 @query(f"WITH {BM} SELECT 'doc' AS kind, key::VARCHAR AS name, dl AS n, round(k, 6) AS value FROM k UNION ALL SELECT 'term', term, df, round(idf, 6) FROM idf")
