@@ -329,9 +329,10 @@ def _ranks(spark, sf):
     items = table(spark, sf, "benchmark")
     scored = lexical.search(_index(spark, sf), items, "item_id", "text").withColumn("s", F.round("lexical", 6))
     order = ranked(scored, [F.col("s").desc(), F.col("key")], ["item_id"])
-    # only documents that match a term of the item can hold its text
+    # few documents hold an item's text, at whatever rank, so they are found before the ranks are joined
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
-    found = order.filter("rank <= 200").join(F.broadcast(items), "item_id").join(texts, "key").filter(F.contains("body", "text")).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    holds = texts.join(F.broadcast(items.select("item_id", "text")), F.contains("body", "text")).select("item_id", "key").distinct()
+    found = order.join(holds, ["item_id", "key"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     return items.select("item_id").join(found, "item_id", "left")
 
 
