@@ -92,7 +92,7 @@ SENTENCES = (
     ("warranty-disclaimer", "without warranty", r"without warranty of any kind"),
     ("warranty-disclaimer", "warranties", r"as is (?:basis )?without warranties or conditions of any kind"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"),
-    ("copyright", "copyright", r"copyrighted (?:by|material)"),
+    ("copyright", "copyrighted", r"copyrighted (?:by|material)"),
 )
 
 _GRANT = "(?:licensed|released|distributed|available|provided|published|covered|governed) (?:under|by) (?:the )?(?:terms of )?(?:the )?"

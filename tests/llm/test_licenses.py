@@ -48,3 +48,40 @@ def test_rules_are_gated():
 
 def test_empty(spark):
     assert licenses.annotate(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def matches(pattern, pick):
+    """A text that ``pattern`` matches, with each branch and repeat chosen by ``pick``."""
+    out = []
+    for op, arg in re._parser.parse(pattern) if isinstance(pattern, str) else pattern:
+        kind = str(op)
+        if kind == "LITERAL":
+            out.append(chr(arg))
+        elif kind == "SUBPATTERN":
+            out.append(matches(arg[3], pick))
+        elif kind == "BRANCH":
+            out.append(matches(pick(arg[1]), pick))
+        elif kind == "MAX_REPEAT":
+            out += [matches(arg[2], pick) for _ in range(pick([arg[0], min(arg[1], arg[0] + 2)]))]
+        elif kind == "IN":
+            first = arg[0]
+            out.append("x" if str(first[0]) == "CATEGORY" else chr(first[1] if str(first[0]) == "LITERAL" else first[1][0]))
+        else:
+            out.append(".")
+    return "".join(out)
+
+
+def test_each_rule_is_found_alone(spark):
+    rng = random.Random(2)
+    rows, pure = [], set()
+    for i, rule in enumerate(licenses.RULES):
+        for text in {matches(rule.words, pick) for pick in (lambda x: x[0], lambda x: x[-1], rng.choice)}:
+            found = re.search(rule.pattern, " " + text.replace(" ", "  ") + " ")
+            assert found and f" {rule.keyword} " in f" {text} ", (rule, text)
+            rows.append((len(rows), text))
+            pure.add(i)
+    assert len(pure) == len(licenses.RULES)
+    rows += [(len(rows), "Copyrighted by X"), (len(rows) + 1, "this is copyrighted material")]
+    out = {r["doc_id"]: tuple(r)[1:] for r in licenses.annotate(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()}
+    assert out == {d: brute(t) for d, t in rows}
+    assert all(x[5] for x in out.values()) and out[rows[-1][0]][5:] == ("copyright", 0.9)
