@@ -60,9 +60,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], gram: int, span: int) -> It
     window = gram + span - 1
     for batch in batches:
         ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        ths = batch.column("th").to_numpy(zero_copy_only=False)
         for at, end, run in tokens.runs(batch.column("text"), tokens.SPACED):
             lines = Lines(run)
-            docs = ids[at:end][lines.text_of]
+            docs, marks = ids[at:end][lines.text_of], ths[at:end][lines.text_of]
             grams = tokens.windows(lines.hashes, gram)
             whole = np.flatnonzero(lines.room[: len(grams)] >= gram)
             picks = whole[selected(grams[whole], lines.text_of[whole], span)]
@@ -77,24 +78,24 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], gram: int, span: int) -> It
             fits = lines.room[starts] >= window
             rows, starts = rows[fits], starts[fits]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[rows].view(np.int64)), pa.array(docs[rows]), pa.array(wide[starts].view(np.int64)), pa.array(more[starts].view(np.int64)), pa.array(lines.place[starts].astype(np.int32)), pa.array(lines.place[rows].astype(np.int32))],
-                names=["h", "doc", "w", "v", "at", "pos"],
+                [pa.array(grams[rows].view(np.int64)), pa.array(docs[rows]), pa.array(marks[rows]), pa.array(wide[starts].view(np.int64)), pa.array(more[starts].view(np.int64)), pa.array(lines.place[starts].astype(np.int32)), pa.array(lines.place[rows].astype(np.int32))],
+                names=["h", "doc", "th", "w", "v", "at", "pos"],
             )
 
 
 def repeated_windows(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """(doc, at): where a window of lines begins that also begins earlier, in a smaller doc_id or further up."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    places = saved(texts.mapInArrow(lambda it: _fingerprints(it, gram, span), "h bigint, doc bigint, w bigint, v bigint, at int, pos int"), "lines")
+    """(doc, th, at): where a window of lines begins that also begins earlier, in a smaller doc_id or further up; th tells the texts of a repeated id apart."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    places = saved(texts.mapInArrow(lambda it: _fingerprints(it, gram, span), "h bigint, doc bigint, th bigint, w bigint, v bigint, at int, pos int"), "lines")
     total = places.count()
     # a fingerprint comes with each window that holds it, so it is repeated if it has two places
     again = places.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("pos").alias("up"), F.max("pos").alias("down"), F.count("*").alias("copies"))
     again = again.filter("low <> high or up <> down").select("h", "copies")
-    windows = lookup(places, again, "h", "copies", total).select("doc", "w", "v", "at").distinct()
+    windows = lookup(places, again, "h", "copies", total).select("doc", "th", "w", "v", "at").distinct()
     firsts = windows.groupBy("w", "v").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     firsts = firsts.select("w", F.col("v").alias("first_v"), "first", "copies")
     found = lookup(windows, firsts, "w", "copies", total).filter("v = first_v")
-    return found.filter(F.struct("doc", "at") > F.col("first")).select("doc", "at")
+    return found.filter(F.struct("doc", "at") > F.col("first")).select("doc", "th", "at")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,8 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFra
     An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    starts = repeated_windows(docs, gram, span).groupBy("doc").agg(F.collect_set("at").alias("starts"))
-    rows = rows.join(saved(starts, "runs"), F.coalesce(F.col("doc_id"), F.lit(int(_NO_ID))) == F.col("doc"), "left").select("doc_id", "text", "starts")
+    starts = repeated_windows(docs, gram, span).groupBy("doc", "th").agg(F.collect_set("at").alias("starts"))
+    rows = rows.join(saved(starts, "runs"), (F.coalesce(F.col("doc_id"), F.lit(int(_NO_ID))) == F.col("doc")) & (F.xxhash64("text") == F.col("th")), "left").select("doc_id", "text", "starts")
     return rows.mapInArrow(lambda it: _cut(it, gram + span - 1), "doc_id bigint, text string, n_lines bigint, n_removed bigint")
 
 

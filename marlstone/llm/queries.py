@@ -53,6 +53,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.annotate(table(spark, sf_dir, "documents"))
 
 
+def op10_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.annotate(table(spark, sf_dir, "documents"), gram=1, span=1)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
+    "op10_single_lines": op10_single_lines,
 }
 
 def _secret_sql() -> str:
@@ -220,4 +225,16 @@ SQL = {
         SELECT d.doc_id, (SELECT count(*) FROM units u WHERE u.doc_id = d.doc_id) AS n_lines,
                (SELECT count(*) FROM lost l WHERE l.doc_id = d.doc_id) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op10_single_lines": r"""
+        WITH parts AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS part
+            FROM documents),
+        marked AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM parts),
+        units AS (SELECT doc_id, body, part, row_number() OVER (PARTITION BY body ORDER BY doc_id, part) AS nth FROM marked WHERE body <> ''),
+        lost AS (SELECT doc_id, part FROM units WHERE nth > 1),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY part) AS text FROM parts ANTI JOIN lost USING (doc_id, part) GROUP BY doc_id)
+        SELECT d.doc_id, (SELECT count(*) FROM units u WHERE u.doc_id = d.doc_id) AS n_lines,
+               (SELECT count(*) FROM lost l WHERE l.doc_id = d.doc_id) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id)""",
 }

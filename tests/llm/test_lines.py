@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from marlstone.llm import lines
+from marlstone.llm import lines, queries
 
 SCHEMA = "doc_id bigint, text string, h string, at string"
 WHITE = " \t\n\x0b\x0c\r"
@@ -67,3 +67,11 @@ def test_equal_runs_select_equal_fingerprints():
     hashes = rng.integers(0, 9, 300).astype(np.uint64)
     picks = set(lines.selected(hashes, np.zeros(300, dtype=int), 4).tolist())
     assert all(picks & set(range(i, i + 4)) for i in range(297))
+
+
+def test_single_lines_query_matches_brute_force(spark, tmp_path):
+    rows = [*fixture(), (3000, "once\ntwice"), (3001, "once"), (3002, "once\ntwice"), (3003, "new\ntwice\nold")]
+    spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op10_single_lines"](spark, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 1)
+    assert {r["doc_id"]: r["n_removed"] for r in out if (r["doc_id"] or 0) >= 3000} == {3000: 0, 3001: 1, 3002: 2, 3003: 1}
