@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
-from marlstone.llm.graph import anti_by_id, components, lookup
+from marlstone.llm.graph import components, lookup
 from marlstone.llm.store import saved
 
 SHINGLE = 3
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): A-Z lowered, words between ASCII white space, XXH64 (seed 42) of each run of ``size`` words.
+    """(doc_id, th, fp), th a hash of the text as it is: A-Z lowered, words between ASCII white space, XXH64 (seed 42) of each run of ``size`` words.
 
     A bit of fp is set if more than half of the hashes have it. Repeated shingles
     count each time; fewer words make one shingle; no words, or null, give zero.
@@ -72,9 +72,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             data, offsets = tokens.utf8(batch.column("text"))
             whole, cuts = data.tobytes().translate(tokens.LOWER_BYTES), offsets.tolist()
             fps = [fingerprint(whole[a:b], size) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(per_batch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, fp bigint")
 
 
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
@@ -142,6 +142,11 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return links.unionByName(link(dealt.groupBy("t", "key", "t2", "key2").agg(member)))
 
 
+def _identity():
+    """Orders rows by id, null last; rows that repeat an id are told apart by their text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+
+
 def annotate(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -152,16 +157,30 @@ def annotate(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> Data
     fellows and get that id, or null when their group has no other. An empty
     table gives an empty result.
     """
+    rows, labelled, total = _labelled(docs, radius, size)
+    labelled = labelled.select("fp", "copies", F.col("keep.doc_id").alias("component_id"))
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return lookup(rows.drop("th"), labelled, "fp", "copies", total).select("doc_id", hexed, "component_id")
+
+
+def _labelled(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, th, fp), each fp's copies and the first row of its component (null ids last), the number of rows."""
     rows = saved(fingerprints(docs, size), "simhash")
     total = rows.count()
-    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "nodes")
-    found = components(near_links(nodes.filter("rep is not null").select("rep", "fp"), radius))
-    labelled = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return lookup(rows, labelled, "fp", "copies", total).select("doc_id", hexed, "component_id")
+    nodes = saved(rows.groupBy("fp").agg(F.min(_identity()).alias("rep"), F.count("*").alias("copies")), "nodes")
+    found = components(near_links(nodes.select(F.col("fp").alias("rep"), "fp"), radius))
+    named = saved(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "rep", "copies", F.coalesce("component", "fp").alias("component")), "named")
+    groups = named.groupBy("component").agg(F.min("rep").alias("keep"), F.count("*").alias("members"))
+    return rows, lookup(named, groups, "component", "members", total).select("fp", "copies", "keep"), total
 
 
-def drop_near_copies(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; columns unchanged."""
-    gone = annotate(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__ms_gone")).distinct()
-    return anti_by_id(docs, saved(gone, "gone"), "doc_id", "__ms_gone")
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; columns unchanged.
+
+    A row is judged by its id and text: another text under the same id stays, and
+    near copies without an id go like others.
+    """
+    rows, labelled, total = _labelled(docs, radius, size)
+    gone = lookup(rows, labelled, "fp", "copies", total).filter(_identity() != F.col("keep"))
+    gone = saved(gone.select(F.col("doc_id").alias("__ms_gone"), F.col("th").alias("__ms_th")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__ms_gone"]) & (F.xxhash64(docs["text"]) == gone["__ms_th"]), "left_anti")

@@ -89,3 +89,31 @@ def test_one_of_each_component_stays(spark):
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute(rows)}
+
+
+def three_steps():
+    """Texts whose fingerprints are at most 3 bits apart from the next one's, the outer two more."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(500)}" for _ in range(4000)]
+    chain = [list(words)]
+    for _ in range(300):
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        chain.append(list(words))
+    texts = [" ".join(w) for w in chain]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    apart = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+    return next((texts[0], texts[j], texts[k]) for j in range(300) for k in range(j + 1, 301) if apart(0, j) <= 3 and apart(j, k) <= 3 and apart(0, k) > 3)
+
+
+def test_rows_without_an_id_link_their_neighbours(spark):
+    a, b, c = three_steps()
+    docs = spark.createDataFrame([(7, a, "en", "x"), (None, b, "en", "x"), (9, c, "en", "x")], SCHEMA)
+    assert [r["component_id"] for r in simhash.annotate(docs).collect()] == [7, 7, 7]
+    assert [r["doc_id"] for r in simhash.drop_near_copies(docs).collect()] == [7]
+
+
+def test_another_text_under_a_repeated_id_stays(spark):
+    a, b, _ = three_steps()
+    other = " ".join(f"other{i}" for i in range(50))
+    docs = spark.createDataFrame([(5, other, "en", "x"), (5, b, "en", "x"), (3, a, "en", "x")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()) == [(3, a), (5, other)]
