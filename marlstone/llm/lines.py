@@ -50,7 +50,7 @@ class Lines:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(run.starts)) - 1 if len(first) else first
         self.text_of = text_of[first]
-        self.hashes = tokens.segment_hashes(run.raw, run.starts[first], run.ends[last])
+        self.hashes, self.more = (tokens.segment_hashes(run.raw, run.starts[first], run.ends[last], point) for point in (0, 1))
         self.begin = np.searchsorted(self.text_of, np.arange(len(run.offsets)))
         self.place = np.arange(len(first)) - self.begin[self.text_of]
         self.room = self.begin[self.text_of + 1] - np.arange(len(first))
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], gram: int, span: int) -> It
             whole = np.flatnonzero(lines.room[: len(grams)] >= gram)
             picks = whole[selected(grams[whole], lines.text_of[whole], span)]
             wide = tokens.windows(lines.hashes, window)
-            more = tokens.windows(tokens.scramble(lines.hashes ^ np.uint64(0x5851F42D4C957F2D)), window)
+            more = tokens.windows(lines.more, window, 1)
             # the windows that hold the fingerprint, as far as the text goes both ways
             starts = picks[:, None] + np.arange(gram - window, 1)[None, :]
             rows = np.broadcast_to(picks[:, None], starts.shape)
@@ -119,7 +119,7 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFra
     Lines end at a line feed and are compared without outer ASCII white space;
     blank lines count for nothing and stay. Of equal runs the first by (doc_id,
     line) stays, so a text's own repeats go too. Runs are judged on the input and
-    compared by 128 bits of hash. Rows that repeat an id are one document to each
+    compared by two independent hashes of 61 bits, polynomials modulo a prime. Rows that repeat an id are one document to each
     other; a null id counts as larger than all others; a null text stays null.
     An empty table gives an empty result; other columns are not read.
     """

@@ -152,12 +152,12 @@ class Layout:
         hashes, docs, block = hashes[send], docs[send], block[send]
         yield from _bodies(self.of_hash(hashes), docs, ((hashes & _LOW).astype(np.uint32) << np.uint32(1)) | block.astype(np.uint32))
 
-    def _told(self, docs: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    def _told(self, docs: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """Messages for documents, each (document, key) once."""
         if len(docs):
             _, once = np.unique(_owned(docs, keys), return_index=True)
             docs, keys = docs[once], keys[once]
-            yield from _bodies(self.of_doc(docs) + self.n, docs, keys.view(np.uint64))
+            yield from _bodies(self.of_doc(docs) + self.n, docs, keys.view(np.uint64), *(m[once] for m in more))
 
     # between passes 1 and 2
     def meet(self, key: tuple, table: pa.Table) -> pa.Table:
@@ -193,30 +193,27 @@ class Layout:
                 continue
             least = np.minimum.reduceat(docs, starts)
             later = docs > _spread(starts, len(docs), least)
-            out += list(self._told(docs[later], self._window_key(hashes[later], more[later])))
+            out += list(self._told(docs[later], hashes[later], more[later]))
             out += list(_bodies(self.of_hash(hashes[starts]), least, hashes[starts], more[starts]))
         return _message_table(out)
 
-    def _window_key(self, hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
-        return tokens.scramble(hashes ^ (more.astype(np.uint64) << np.uint64(32)))
-
-    def _windows(self, run: tokens.Run, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all windows, 32 bits more of them, and whether they lie in one text."""
-        hashes = tokens.windows(words, self.window)
-        more = (tokens.windows(tokens.scramble(words ^ np.uint64(0x5851F42D4C957F2D)), self.window) >> np.uint64(32)).astype(np.uint32)
-        return hashes, more, run.room()[: len(hashes)] >= self.window
+    def _windows(self, run: tokens.Run, words: tokens.Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all windows, independent second ones, and whether they lie in one text."""
+        hashes = words.windows(self.window)
+        return hashes, tokens.windows(run.word_hashes(1), self.window, 1), run.room()[: len(hashes)] >= self.window
 
     def _candidates(self, rows: pa.Table, wanted: np.ndarray):
         for _, docs, run, words in self.runs(rows.column("doc_id"), rows.column("text")):
-            blocks = tokens.windows(words, self.block)
-            hashes, more, whole = self._windows(run, words)
+            sums = tokens.Sums(words)
+            blocks = sums.windows(self.block)
+            hashes, more, whole = self._windows(run, sums)
             if not len(hashes):
                 continue
             inside = run.room()[: len(blocks)] >= self.block
             hit = inside & np.isin(_owned(docs[: len(blocks)], self.key(blocks)), wanted)
-            sums = np.concatenate([[0], np.cumsum(hit)])
+            hits = np.concatenate([[0], np.cumsum(hit)])
             n, reach = len(hashes), self.window - self.block + 1
-            at = np.flatnonzero(whole & (sums[np.minimum(np.arange(n) + reach, len(blocks))] > sums[:n]))
+            at = np.flatnonzero(whole & (hits[np.minimum(np.arange(n) + reach, len(blocks))] > hits[:n]))
             yield docs, run, hashes, more, at
 
     # between passes 2 and 3
@@ -224,25 +221,28 @@ class Layout:
         addr, bodies = key[0].as_py(), table.column("body").to_pylist()
         if addr >= self.n:
             return _message_table((addr - self.n, body) for body in bodies)
-        docs, hashes, more = _unpack(bodies, (np.uint64, np.uint32))
+        docs, hashes, more = _unpack(bodies, (np.uint64, np.uint64))
         order = np.lexsort((more, hashes))
         docs, hashes, more = docs[order], hashes[order], more[order]
         starts = _groups(hashes, more)
         if not len(starts):
             return _message_table([])
         later = docs > _spread(starts, len(docs), np.minimum.reduceat(docs, starts))
-        return _message_table((a - self.n, body) for a, body in self._told(docs[later], self._window_key(hashes[later], more[later])))
+        return _message_table((a - self.n, body) for a, body in self._told(docs[later], hashes[later], more[later]))
 
     # pass 3
     def removed_words(self, rows: pa.Table, told: pa.Table) -> Iterator[tuple[int, tokens.Run, np.ndarray]]:
         """(first text, run, whether each word goes)."""
-        owners, keys = _unpack(told.column("body").to_pylist(), (np.uint64,))
-        wanted = np.unique(_owned(owners, keys))
+        owners, keys, seconds = _unpack(told.column("body").to_pylist(), (np.uint64, np.uint64))
+        wanted, order = np.unique(_owned(owners, keys), return_index=True)
+        seconds = seconds[order]
         for at, docs, run, words in self.runs(rows.column("doc_id"), rows.column("text")):
             steps = np.zeros(len(words) + 1, dtype=np.int64)
             if len(wanted):
-                hashes, more, whole = self._windows(run, words)
-                begins = np.flatnonzero(whole & np.isin(_owned(docs[: len(hashes)], self._window_key(hashes, more)), wanted))
+                hashes, more, whole = self._windows(run, tokens.Sums(words))
+                owned = _owned(docs[: len(hashes)], hashes)
+                place = np.minimum(np.searchsorted(wanted, owned), len(wanted) - 1)
+                begins = np.flatnonzero(whole & (wanted[place] == owned) & (seconds[place] == more))
                 np.add.at(steps, begins, 1)
                 np.add.at(steps, begins + self.window, -1)
             yield at, run, np.cumsum(steps[:-1]) > 0
@@ -308,7 +308,8 @@ def annotate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     of ``window`` consecutive words that covers it also begins in a document with
     a smaller doc_id; windows are judged on the input. Rows that repeat an id are
     one document to each other, so they do not remove each other's words; a null
-    id counts as larger than all others. Windows are compared by 96 bits of hash.
+    id counts as larger than all others. Windows are compared by
+    two independent hashes of 61 bits, polynomials of their words modulo a prime.
     An empty table gives an empty result; other columns are not read.
     """
     return _remove(docs, window, keep_text=False)

@@ -26,19 +26,42 @@ LOWER_BYTES = LOWER.tobytes()
 #: As LOWER, with everything that is no ALNUM byte made a space.
 ALNUM_LOWER_BYTES = np.where(ALNUM, LOWER, 0x20).astype(np.uint8).tobytes()
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Polynomials are taken modulo this prime, so that no choice of words makes sums cancel as they do modulo 2 ** 64.
+PRIME = (1 << 61) - 1
+# The points at which the polynomials are taken. Two of them give two independent hashes.
+_POINTS = (0x14C5A9B7D3E8F261, 0x0B7E151628AED2A7)
+_P, _S61, _S32, _S29 = np.uint64(PRIME), np.uint64(61), np.uint64(32), np.uint64(29)
+_M32, _M29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            factors = np.full(size, base, dtype=np.uint64)
-            factors[0] = 1
-            _powers[name] = np.cumprod(factors, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Below 2 ** 61, equal modulo the prime but for the prime itself, which stands for zero."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times_2_32(x: np.ndarray) -> np.ndarray:
+    return (x >> _S29) + ((x & _M29) << _S32)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of values below it, by halves of 32 bits."""
+    a_high, a_low, b_high, b_low = a >> _S32, a & _M32, b >> _S32, b & _M32
+    low = a_low * b_low
+    return _fold((low & _P) + (low >> _S61) + _times_2_32(a_high * b_low + a_low * b_high) + (a_high * b_high << np.uint64(3)))
+
+
+def _power_table(n: int, point: int, inverse: bool) -> np.ndarray:
+    """The first n powers of a point, or of its inverse."""
+    key = (point, inverse)
+    if key not in _powers or len(_powers[key]) < n:
+        base = pow(_POINTS[point], -1, PRIME) if inverse else _POINTS[point]
+        out, size = np.ones(1, dtype=np.uint64), max(1 << 16, 1 << (n - 1).bit_length())
+        while len(out) < size:
+            out = np.concatenate([out, _product(out, np.uint64(pow(base, len(out), PRIME)))])
+        _powers[key] = out
+    return _powers[key]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -52,13 +75,46 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of values[start:end] for each segment, from prefix sums of a polynomial."""
-    n = len(values)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * down[starts])
+class Sums:
+    """Prefix sums of a polynomial over ``values``, for the hashes of any of their segments."""
+
+    #: Bytes of a segment up to which sums of unreduced products stay below 2 ** 64.
+    _SHORT = 1 << 22
+
+    def __init__(self, values: np.ndarray, point: int = 0, short: bool = False):
+        n = len(values)
+        self.point, powers = point, _power_table(n + 1, point, False)[:n]
+        self.low, self.high = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
+        if values.dtype == np.uint8:
+            by = values.astype(np.uint64) + np.uint64(1)
+            low, high = by * (powers & _M32), by * (powers >> _S32)
+            if not short:
+                whole = low + _times_2_32(high)
+                low, high = whole & _M32, whole >> _S32
+        else:
+            whole = _product(_fold(values), powers)
+            low, high = whole & _M32, whole >> _S32
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high = _fold(self.high[ends] - self.high[starts])
+        whole = _fold(_fold(self.low[ends] - self.low[starts]) + _times_2_32(high))
+        return scramble(_product(whole, _power_table(len(self.low), self.point, True)[starts]))
+
+    def windows(self, length: int) -> np.ndarray:
+        """The hash of each run of ``length`` values (empty if there are fewer)."""
+        n = len(self.low) - length
+        if n <= 0:
+            return np.empty(0, dtype=np.uint64)
+        at = np.arange(n)
+        return self.hashes(at, at + length)
+
+
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int = 0) -> np.ndarray:
+    """The hash of values[start:end] for each segment; ``point`` 0 and 1 give independent ones."""
+    short = not len(starts) or int((ends - starts).max()) <= Sums._SHORT
+    return Sums(values, point, short).hashes(starts, ends)
 
 
 class Run:
@@ -87,8 +143,8 @@ class Run:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
-    def word_hashes(self) -> np.ndarray:
-        return segment_hashes(self.data, self.starts, self.ends)
+    def word_hashes(self, point: int = 0) -> np.ndarray:
+        return segment_hashes(self.data, self.starts, self.ends, point)
 
     def room(self) -> np.ndarray:
         """For each word, how many words its text still has, itself included."""
@@ -96,13 +152,9 @@ class Run:
         return np.repeat(self.first[1:], counts) - np.arange(len(self.starts))
 
 
-def windows(hashes: np.ndarray, length: int) -> np.ndarray:
+def windows(hashes: np.ndarray, length: int, point: int = 0) -> np.ndarray:
     """The hash of each run of ``length`` values (empty if there are fewer)."""
-    n = len(hashes) - length + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    at = np.arange(n)
-    return segment_hashes(hashes, at, at + length)
+    return Sums(hashes, point).windows(length)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

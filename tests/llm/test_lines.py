@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from marlstone.llm import lines, queries
+from tests.llm.test_substrings import opposites
 
 SCHEMA = "doc_id bigint, text string, h string, at string"
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,3 +76,17 @@ def test_single_lines_query_matches_brute_force(spark, tmp_path):
     out = queries.QUERIES["op10_single_lines"](spark, str(tmp_path)).collect()
     assert sorted((tuple(r) for r in out), key=str) == brute(rows, 1)
     assert {r["doc_id"]: r["n_removed"] for r in out if (r["doc_id"] or 0) >= 3000} == {3000: 0, 3001: 1, 3002: 2, 3003: 1}
+
+
+def test_lines_made_to_collide_stay(spark):
+    one, other = opposites()
+    rows = [(1, f"{one}\nb\nc"), (2, f"{other}\nb\nc"), (3, f"x\n{one}\nb\nc")]
+    out = lines.annotate(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows)
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 0, 3: 3}
+
+
+def test_other_texts_under_a_repeated_id(spark):
+    for rows in ([(1, "a\nb\nc"), (5, "x1\nx2\nx3\nx4\nx5\na\nb\nc\nz"), (5, "q\nr")], [(1, "a\nb\nc"), (5, "a\nb\nc\nz"), (5, "q\nr\ns\nt")], [(1, "a\nb\nc"), (None, "a\nb\nc\nz"), (None, "q\nr\ns\nt")]):
+        out = lines.annotate(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()
+        assert sorted((tuple(r) for r in out), key=str) == brute(rows)

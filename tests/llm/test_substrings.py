@@ -56,3 +56,18 @@ def test_texts_and_empty(spark):
     digests = sorted((r["doc_id"] or -1, hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out)
     assert digests == sorted((r[0] or -1, r[3]) for r in brute(rows, 50))
     assert substrings.annotate(docs.limit(0)).collect() == []
+
+
+def opposites(n=1024):
+    """Two long words over a and b, the Thue-Morse sequence and its complement: equal to every polynomial modulo 2 ** 64."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide_stay(spark):
+    one, other = opposites()
+    tail = [f"t{i}" for i in range(49)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([other, *tail])), (3, " ".join([one, *tail, "x"]))]
+    out = substrings.annotate(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 50)
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 0, 3: 50}
