@@ -1,10 +1,10 @@
 """Exact dedup by two Bloom passes; DataFrame functions only.
 
-Pass one hashes every text to a few bits of one filter and keeps the bits that
-were set at least twice. Equal texts set equal bits, so every repeated text has
-all of its bits in that filter. Pass two tests each row against it: a row with a
-bit missing is unique and goes straight to the output; only the others are
-grouped by their SHA-256.
+Pass one marks a bit for every text's hash in a wide, sparse filter and keeps the
+bits that two or more rows set; only such rows can have equal texts. Those bits
+are put into a second, dense filter of a bounded size, which is broadcast. Pass
+two tests each row against it: a row that misses goes straight to the output,
+and only the others are shuffled and grouped by their SHA-256.
 """
 
 from __future__ import annotations
@@ -15,38 +15,66 @@ from pyspark.sql import functions as F
 from marlstone.llm.graph import lookup
 from marlstone.llm.store import saved
 
-BITS_PER_ROW = 16
-HASHES = 2
-#: Rows of 64 filter bits that may be broadcast (two longs each, about 64 MB hashed); beyond, the filter is joined by shuffle.
-BROADCAST_WORDS = 1 << 20
+#: Bits of the sparse filter; two texts out of n share one by chance with a probability of n / 2 ** 48.
+SPARSE_BITS = 48
+#: The dense filter has this many bits for each bit it holds, and never more than MAX_BITS: 256 MB broadcast.
+#: A fuller one lets more unique rows through to the shuffle, whose groups are exact in any case.
+BITS_PER_ENTRY = 16
+MAX_BITS = 1 << 31
+HASHES = 3
+#: Bits of a block of the dense filter, that of one ``bitmap_construct_agg``; a row's bits all lie in one.
+_BLOCK = 1 << 15
 
 
-def _slots(hashed: Column, bits: int, hashes: int) -> list[Column]:
-    return [F.xxhash64(hashed, F.lit(j)).bitwiseAND(F.lit(bits - 1)) for j in range(hashes)]
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
-def repeated_bits(keys: DataFrame, hashed: str, hashes: int = HASHES, bits_per_row: int = BITS_PER_ROW) -> tuple[DataFrame, int]:
-    """(word, bits) of the filter bits set by two or more rows, and the filter's size in bits."""
-    bits = 1 << max(10, (keys.count() * bits_per_row - 1).bit_length())
-    slots = keys.select(F.explode(F.array(*_slots(F.col(hashed), bits, hashes))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    words = twice.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
-    return saved(words, "bloom"), bits
+def _sha() -> Column:
+    return F.coalesce(F.sha2(_text().cast("binary"), 256), F.lit(""))  # never null, which the optimiser would test on every row
 
 
-def flag_maybe(rows: DataFrame, hashed: str, words: DataFrame, bits: int, hashes: int = HASHES, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """``rows`` with ``_maybe``: all bits of the row's hash are in the filter."""
-    small = words.count() <= broadcast_words
-    hit = F.lit(True)
-    for j, slot in enumerate(_slots(F.col(hashed), bits, hashes)):
-        rows = rows.withColumn(f"__ms_slot{j}", slot)
-        side = words.select(F.col("word").alias(f"__ms_word{j}"), F.col("bits").alias(f"__ms_bits{j}"))
-        rows = rows.join(F.broadcast(side) if small else side, F.expr(f"shiftright(__ms_slot{j}, 6)") == F.col(f"__ms_word{j}"), "left")
-        hit = hit & F.expr(f"coalesce(getbit(__ms_bits{j}, cast(__ms_slot{j} & 63 as int)), 0) = 1")
-    return rows.withColumn("__ms_maybe", hit).drop(*[f"__ms_{k}{j}" for j in range(hashes) for k in ("slot", "word", "bits")])
+def _row_key(sha: Column, doc_id: Column) -> Column:
+    return F.concat(sha, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")))
 
 
-def annotate(docs: DataFrame, **filter_options: int) -> DataFrame:
+def _mark(hashed: str) -> Column:
+    return F.col(hashed).bitwiseAND(F.lit((1 << SPARSE_BITS) - 1))
+
+
+def repeated_marks(keys: DataFrame, hashed: str) -> DataFrame:
+    """(mark): bits of the sparse filter that two or more rows set. Copies within a partition are counted before the exchange."""
+    marks = keys.select(_mark(hashed).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+    return saved(marks.filter("n > 1").select("mark"), "marks")
+
+
+def _places(mark: Column, blocks: int) -> tuple[Column, Column]:
+    """The block of a mark in the dense filter, and the places of its bits there."""
+    spread = F.xxhash64(mark)
+    places = F.array(*[F.shiftrightunsigned(spread, 16 * j).bitwiseAND(F.lit(_BLOCK - 1)) for j in range(HASHES)])
+    return F.coalesce(F.pmod(F.xxhash64(mark, F.lit(1)), F.lit(blocks)), F.lit(0)), places
+
+
+def dense_filter(marks: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """(block, bits) of the dense filter that holds ``marks``, and its number of blocks."""
+    wanted = max(_BLOCK, min(max_bits, marks.count() * BITS_PER_ENTRY))
+    blocks = -(-wanted // _BLOCK)
+    block, places = _places(F.col("mark"), blocks)
+    bits = marks.select(block.alias("__ms_block"), F.explode(places).alias("place"))
+    return saved(bits.groupBy("__ms_block").agg(F.bitmap_construct_agg("place").alias("__ms_bits")), "bloom"), blocks
+
+
+def flag_maybe(rows: DataFrame, hashed: str, dense: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``__ms_maybe``: all bits of the row's hash are in the filter. No row is moved."""
+    block, places = _places(_mark(hashed), blocks)
+    rows = rows.withColumn("__ms_block", block).withColumn("__ms_places", places).join(F.broadcast(dense), "__ms_block", "left")
+    # byte place / 8 of the bitmap, and of that the bit place % 8
+    hit = "(shiftright(cast(conv(hex(substring(__ms_bits, cast(__ms_places[{0}] div 8 as int) + 1, 1)), 16, 10) as int), cast(__ms_places[{0}] % 8 as int)) & 1) = 1"
+    every = " AND ".join(hit.format(j) for j in range(HASHES))
+    return rows.withColumn("__ms_maybe", F.expr(f"__ms_bits IS NOT NULL AND {every}")).drop("__ms_block", "__ms_places", "__ms_bits")
+
+
+def annotate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as the empty text. Of equal texts
@@ -54,11 +82,9 @@ def annotate(docs: DataFrame, **filter_options: int) -> DataFrame:
     agree in both, one stays). Columns other than doc_id and text are not read.
     An empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.xxhash64(text).alias("__ms_hash"))
+    rows = docs.select("doc_id", _sha().alias("text_sha256"), F.xxhash64(_text()).alias("__ms_hash"))
     rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "hashes")
-    words, bits = repeated_bits(rows, "__ms_hash", **filter_options)
-    flagged = flag_maybe(rows, "__ms_hash", words, bits, filter_options.get("hashes", HASHES))
+    flagged = flag_maybe(rows, "__ms_hash", *dense_filter(repeated_marks(rows, "__ms_hash"), max_bits))
     unique = flagged.filter("not __ms_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.filter("__ms_maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
@@ -68,18 +94,19 @@ def annotate(docs: DataFrame, **filter_options: int) -> DataFrame:
     return unique.unionByName(repeated)
 
 
-def drop_copies(docs: DataFrame, **filter_options: int) -> DataFrame:
+def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without all but one row of each text, columns unchanged.
 
-    Rows that the filter clears are not shuffled; the others meet the ids to keep.
+    Which row stays is as in ``annotate``. Texts meet nothing but the broadcast
+    filter: rows that it clears stay where they are at any size, and of the
+    others repeats of (id, text) collapse before they are exchanged.
     """
-    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keys = saved(docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("__ms_sha"), hashed.alias("__ms_hash")), "hashes")
-    words, bits = repeated_bits(keys, "__ms_hash", **filter_options)
-    hashes = filter_options.get("hashes", HASHES)
-    keep = flag_maybe(keys, "__ms_hash", words, bits, hashes).filter("__ms_maybe").groupBy("__ms_sha").agg(F.max("doc_id").alias("__ms_keep_id"))
-    flagged = flag_maybe(docs.withColumn("__ms_hash", hashed), "__ms_hash", words, bits, hashes).drop("__ms_hash")
-    maybe = flagged.filter("__ms_maybe").withColumn("__ms_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    match = (F.col("__ms_text_sha") == F.col("__ms_sha")) & F.col("doc_id").eqNullSafe(F.col("__ms_keep_id"))
-    stays = maybe.join(keep, match, "left_semi").dropDuplicates(["doc_id", "__ms_text_sha"])
+    hashed = docs.withColumn("__ms_hash", F.xxhash64(_text()))
+    keys = saved(hashed.select("doc_id", _sha().alias("__ms_sha"), "__ms_hash"), "hashes")
+    dense, blocks = dense_filter(repeated_marks(keys, "__ms_hash"), max_bits)
+    keep = flag_maybe(keys, "__ms_hash", dense, blocks).filter("__ms_maybe").groupBy("__ms_sha").agg(F.max("doc_id").alias("__ms_keep_id"))
+    keep = keep.select(_row_key(F.col("__ms_sha"), F.col("__ms_keep_id")).alias("__ms_key"))
+    flagged = flag_maybe(hashed, "__ms_hash", dense, blocks).drop("__ms_hash")
+    maybe = flagged.filter("__ms_maybe").withColumn("__ms_key", _row_key(_sha(), F.col("doc_id"))).dropDuplicates(["__ms_key"])
+    stays = maybe.join(keep, "__ms_key", "left_semi")
     return flagged.filter("not __ms_maybe").select(*docs.columns).unionByName(stays.select(*docs.columns))
