@@ -1,18 +1,22 @@
 import random
 import re
+import time
 
 from marlstone.llm import licenses
 
 SCHEMA = "doc_id bigint, text string, labels string, c string"
 
 
+PATTERNS = [re.compile(rule.pattern) for rule in licenses.RULES]
+
+
 def brute(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + phrase.count(" ") + 1] == phrase.split()]
     c = " " + "  ".join(w) + " " if w else ""
     found = []
     for i, rule in enumerate(licenses.RULES):
-        for m in re.finditer(rule.pattern, c):
+        for m in PATTERNS[i].finditer(c):
             a = c[: m.start()].count(" ") // 2
             found.append((i, rule.label, licenses.RANKS[rule.kind], a, a + len(m[1].split())))
     better = lambda y, x: (y[2][0], x[3] - x[4], x[0]) and (y[2][0] < x[2][0] or y[2][0] == x[2][0] and (y[4] - y[3] > x[4] - x[3] or y[4] - y[3] == x[4] - x[3] and y[0] < x[0]))
@@ -76,7 +80,7 @@ def test_each_rule_is_found_alone(spark):
     rows, pure = [], set()
     for i, rule in enumerate(licenses.RULES):
         for text in {matches(rule.words, pick) for pick in (lambda x: x[0], lambda x: x[-1], rng.choice)}:
-            found = re.search(rule.pattern, " " + text.replace(" ", "  ") + " ")
+            found = PATTERNS[i].search(" " + text.replace(" ", "  ") + " ")
             assert found and f" {rule.keyword} " in f" {text} ", (rule, text)
             rows.append((len(rows), text))
             pure.add(i)
@@ -85,3 +89,30 @@ def test_each_rule_is_found_alone(spark):
     out = {r["doc_id"]: tuple(r)[1:] for r in licenses.annotate(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()}
     assert out == {d: brute(t) for d, t in rows}
     assert all(x[5] for x in out.values()) and out[rows[-1][0]][5:] == ("copyright", 0.9)
+
+
+def test_very_many_detections_in_one_text(spark):
+    began = time.time()
+    text = "mit license. " * 200_000
+    out = licenses.annotate(spark.createDataFrame([(1, text, "x", "y")], SCHEMA)).first()
+    assert (out["n_base"], out["labels"], out["score"]) == (200_000, "mit", 0.6)
+    assert time.time() - began < 20
+
+
+def test_spellings_of_versions(spark):
+    want = {
+        "GPLv2": "gpl-2.0", "under GPLv3 or later": "gpl-3.0", "LGPLv2.1": "lgpl-2.1", "3-clause BSD": "bsd-3-clause", "AGPL3": "agpl-3.0",
+        "either version 2 of the License, or (at your option) any later version": "gpl-or-later", "GNU GPL version 3": "gpl-3.0", "MPLv2.0": "mpl-2.0",
+    }
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(want)], SCHEMA)
+    out = {r["doc_id"]: r["labels"].split(",") for r in licenses.annotate(docs).collect()}
+    assert [t for i, t in enumerate(want) if want[t] not in out[i]] == []
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    out = licenses.annotate(spark.createDataFrame([(1, "G\u212a MIT LICENSE \u0130", "x", "y")], SCHEMA)).first()
+    assert out["n_words"] == 4 and out["base_labels"] == "mit"
+
+
+def test_hand_written_signatures():
+    assert len(licenses.SENTENCES) > 100
