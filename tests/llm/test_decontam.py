@@ -67,3 +67,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], BENCH)
     assert not any(r["contaminated"] for r in decontam.annotate(df, none).collect())
     assert decontam.annotate(df.limit(0), spark.createDataFrame(bench, BENCH)).collect() == []
+
+
+def test_blocks_hold_one_broadcast_at_a_time(spark):
+    docs, bench = fixture()
+    df, items = spark.createDataFrame([(d, t, "a", "b") for d, t in docs[:-1]], DOCS), spark.createDataFrame(bench, BENCH)
+    sizes, real = [], decontam.Grams.__init__
+    decontam.Grams.__init__ = lambda self, found, window: sizes.append(sum(len(t or "") for _, t in found)) or real(self, found, window)
+    try:
+        kept = decontam.drop_contaminated(df, items, block_words=25)
+    finally:
+        decontam.Grams.__init__ = real
+    assert len(sizes) >= 5 and max(sizes) < sum(sizes) / 2
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BlockScanner" not in plan and plan.count("MapInArrow") <= 1
+    found = brute(docs[:-1], bench)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, x in found.items() if not x[4]} and kept.columns == df.columns
