@@ -19,7 +19,8 @@ MAX_EPOCHS = 3
 #: Slope of each source's schedule, share * (1 + slope * (2 t - 1)), repeating over the sources like the weights.
 SLOPES = (0.5, 0.0, -0.5)
 SEED = "mix-1"
-#: Hex digits of the order key that split a source's prefix sum into buckets: 16 ** 3 a source.
+#: Rows of a bucket of a source's prefix sum that are aimed at; buckets are hex digits of the order key, 16 ** 3 of them at least.
+BUCKET_ROWS = 1 << 17
 BUCKET_DIGITS = 3
 
 
@@ -59,38 +60,55 @@ def _time(start: Column, target: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, u).otherwise(curved)
 
 
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with __ms_skey, and __ms_order, which tells documents by id and text and puts each source in a seeded order."""
+    told = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("__ms_skey", source_key(F.col("source"))).withColumn("__ms_order", F.md5(told))
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """One row per document: __ms_skey, __ms_order, doc_id, size, source_size, target, copies (copy, taken, position)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = _keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "__ms_skey", "__ms_order", size.alias("size"))
+    rows = saved(rows, "sizes")  # the texts are read once
+    buckets, digits = rows.count() // BUCKET_ROWS, BUCKET_DIGITS
+    while 16**digits < buckets:
+        digits += 1
+    rows = rows.withColumn("_bucket", F.substring("__ms_order", 1, digits))
+    buckets = rows.groupBy("__ms_skey", "_bucket").agg(F.sum("size").alias("_words"))
+    plan = targets(buckets.groupBy(F.col("__ms_skey").alias("skey")).agg(F.sum("_words").alias("source_size")), weights, cap).withColumnRenamed("skey", "__ms_skey")
+    before = Window.partitionBy("__ms_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("__ms_skey", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
+    offsets = offsets.join(plan, "__ms_skey")
+    inside = Window.partitionBy("__ms_skey", "_bucket").orderBy("__ms_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["__ms_skey", "_bucket"])
+    copies = []
+    for copy in range(cap):
+        start = F.col("_offset") + F.col("_inside") + F.col("source_size") * copy
+        taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("bigint") - start)).cast("bigint")
+        position = F.when(taken > 0, F.abs(_time(start, F.col("target"), F.col("slope"))))  # the very start may come out as a negative zero
+        copies.append(F.struct(F.lit(copy + 1).alias("copy"), taken.alias("taken"), position.alias("position")))
+    copies = F.filter(F.array(*copies), lambda c: c["taken"] > 0)
+    return placed.select("__ms_skey", "__ms_order", "doc_id", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position.
-
-    Words are runs of non-whitespace; a null text has none. ``taken`` counts the
-    words that the mix takes, repeats included: a source's documents stand in a
-    seeded order of their ids and are read from the start, up to ``cap`` times,
-    until the target is met, so a source takes floor(target) words exactly and
-    the last document may be taken in part. ``position`` in [0, 1] is the time
-    of the first copy (null when nothing is taken). Ties in the order are broken
-    by doc_id; rows that repeat an id are separate documents with equal keys,
-    ordered by size. An empty table gives an empty result.
+    """One row per document: doc_id, size, source_size, target, taken, position, copies.
+
+    Words are runs of non-whitespace; a null text has none. A source's documents
+    stand in a seeded order of their ids and texts and are read from the start,
+    up to ``cap`` times, until the target is met, so a source takes
+    floor(target) words exactly and its last copy may be taken in part. Every
+    copy has a place of its own: ``copies`` lists (copy, taken, position), where
+    ``position`` in [0, 1] is the time at which the source's schedule demands the
+    copy's first word. ``taken`` is the sum of a document's copies and
+    ``position`` that of the first (null when nothing is taken). Rows that repeat
+    an id are separate documents; those that repeat id and text stand next to
+    each other. An empty table gives an empty result. Sources are planned in one
+    task, one row each.
     """
-    rows = docs.select(
-        "doc_id",
-        source_key(F.col("source")).alias("skey"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"),
-    )
-    rows = saved(rows.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)), "sizes")  # the texts are read once
-    buckets = rows.groupBy("skey", "_bucket").agg(F.sum("size").alias("_words"))
-    plan = targets(buckets.groupBy("skey").agg(F.sum("_words").alias("source_size")), weights, cap)
-    before = Window.partitionBy("skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("skey", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    offsets = offsets.join(plan, "skey")
-    inside = Window.partitionBy("skey", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "_bucket"])
-    start = F.col("_offset") + F.col("_inside")
-    room = F.floor("target").cast("bigint") - start
-    copies = [F.greatest(F.lit(0), F.least(F.col("size"), room - F.col("source_size") * e)) for e in range(cap)]
-    taken = sum(copies[1:], copies[0])
-    position = F.when(taken > 0, F.abs(F.round(_time(start, F.col("target"), F.col("slope")), 6)))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), position.alias("position"))
+    taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda total, c: total + c["taken"])
+    return _placed(docs, weights, cap, seed).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("copies", F.lit(0))["position"].alias("position"), "copies")
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
@@ -98,13 +116,15 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with mix_taken and mix_position, in training order.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The copies of documents that the mix takes, in training order, with mix_copy (from 1), mix_taken and mix_position.
 
-    Columns of ``docs`` with these two names are replaced. Rows that repeat an id
-    all return as soon as one of them is taken, with the earliest of their places.
+    A document that is taken three times has three rows. Columns of ``docs``
+    with these three names are replaced. Of rows that repeat id, source and text
+    one stands for all, as often as they are taken together. Texts are exchanged
+    to meet their places and again for the order.
     """
-    plan = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__ms_id")).agg(F.min(F.struct("position", "taken")).alias("__ms_place"))
-    rows = docs.drop("mix_taken", "mix_position").join(plan, F.col("doc_id").eqNullSafe(F.col("__ms_id")))
-    rows = rows.withColumn("mix_taken", F.col("__ms_place.taken")).withColumn("mix_position", F.col("__ms_place.position"))
-    return rows.drop("__ms_id", "__ms_place").orderBy("mix_position", "doc_id")
+    places = _placed(docs, weights, cap, seed).select("__ms_skey", "__ms_order", F.explode("copies").alias("__ms_c"))
+    places = places.select("__ms_skey", "__ms_order", F.col("__ms_c.copy").alias("mix_copy"), F.col("__ms_c.taken").alias("mix_taken"), F.col("__ms_c.position").alias("mix_position"))
+    rows = _keyed(docs.drop("mix_copy", "mix_taken", "mix_position"), seed).dropDuplicates(["__ms_skey", "__ms_order"])
+    return rows.join(places, ["__ms_skey", "__ms_order"]).drop("__ms_skey", "__ms_order").orderBy("mix_position", "doc_id", "mix_copy")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, exact, licenses, lines, mixing, quality, secrets, simhash, substrings, transcripts
 
@@ -46,7 +47,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    mixed = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.withColumn("position", F.round("position", 6)).drop("copies")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +183,7 @@ SQL = {
         WITH rows AS (
             SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
                    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                   md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ord
+                   md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord
             FROM documents),
         sizes AS (SELECT skey, sum(size)::BIGINT AS source_size FROM rows GROUP BY skey),
         ranked AS (SELECT *, (row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS weight FROM sizes),

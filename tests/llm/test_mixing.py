@@ -1,3 +1,6 @@
+import hashlib
+import math
+import re
 from collections import defaultdict
 
 from marlstone.llm import mixing
@@ -64,12 +67,68 @@ def test_empty(spark):
     assert all(r["taken"] == 0 and r["target"] == 0 for r in out)
 
 
+def words_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def brute_places(rows, cap=3):
+    """Every copy that the mix takes, (doc_id, source, text, copy, taken, position), word by word from the definition."""
+    key = lambda s: "1" if s is None else "0" + s
+    sizes = defaultdict(int)
+    for _, s, t in rows:
+        sizes[key(s)] += words_of(t)
+    goal, slopes = brute_targets(sizes), {k: (0.5, 0.0, -0.5)[i % 3] for i, k in enumerate(sorted(sizes))}
+    order = lambda r: hashlib.md5(f"mix-1:{'' if r[0] is None else r[0]}:{hashlib.md5((r[2] or '').encode()).hexdigest()}".encode()).hexdigest()
+    out = []
+    for k in sizes:
+        at = 0
+        for copy in range(1, cap + 1):
+            for d, s, t in sorted((r for r in rows if key(r[1]) == k), key=order):
+                taken = max(0, min(words_of(t), math.floor(goal[k]) - at))
+                if taken:
+                    low, high, a = 0.0, 1.0, slopes[k]
+                    for _ in range(60):  # the demand goal * (t + a (t * t - t)) rises with t
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if goal[k] * (mid + a * (mid * mid - mid)) < at else (low, mid)
+                    out.append((d, s, t, copy, taken, high))
+                at += words_of(t)
+    return out
+
+
+def test_every_copy_has_its_own_place(spark):
+    rows = [*rows_of(), (7, "s2", "other text"), (7, "s2", "other text"), (None, "s0", "c d e"), (None, "s0", "c d e")]
+    docs = spark.createDataFrame([(d, s, t, "q", 5) for d, s, t in rows], "doc_id bigint, source string, text string, mix_taken string, mix_copy int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == ["doc_id", "source", "text", "mix_copy", "mix_taken", "mix_position"]
+    got = [tuple(r) for r in out.collect()]
+    assert [r[5] for r in got] == sorted(r[5] for r in got) and max(r[3] for r in got) == 3
+    want = brute_places(rows)
+    plain = lambda x: sorted((str(r[:5]), round(r[5], 9)) for r in x)
+    a, b = plain(got), plain(want)
+    assert [k for k, _ in a] == [k for k, _ in b] and all(abs(x - y) < 1e-7 for (_, x), (_, y) in zip(a, b, strict=True))
+    per_source = defaultdict(int)
+    for r in got:
+        per_source[r[1]] += r[4]
+    assert sum(per_source.values()) <= sum(words_of(t) for _, _, t in rows)
+
+
+def test_more_buckets_give_the_same_mix(spark):
+    df = frame(spark, rows_of())
+    before, kept = mixing.mix(df).collect(), mixing.BUCKET_ROWS
+    mixing.BUCKET_ROWS = 0.05
+    try:
+        after = mixing.mix(df).collect()
+    finally:
+        mixing.BUCKET_ROWS = kept
+    assert sorted(map(str, before)) == sorted(map(str, after))
+
+
 def test_documents_with_repeated_ids_and_clashing_names(spark):
     rows = [(1, "a b c", "x", 9, "p"), (1, "d e f g", "x", 9, "p"), (2, "h", None, 9, "p"), (None, "i j", "x", 9, "p"), (3, None, "y", 9, "p")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_taken int, position string")
     first = mixing.mixed_documents(docs)
-    assert first.columns == ["doc_id", "text", "source", "position", "mix_taken", "mix_position"]
+    assert first.columns == ["doc_id", "text", "source", "position", "mix_copy", "mix_taken", "mix_position"]
     again = mixing.mixed_documents(docs.orderBy("text"))
-    key = lambda r: (r["doc_id"] or 0, r["text"])
+    key = lambda r: (r["doc_id"] or 0, r["text"], r["mix_copy"])
     assert sorted(first.collect(), key=key) == sorted(again.collect(), key=key)
     assert {r["doc_id"] for r in first.collect()} <= {1, 2, None}
