@@ -25,9 +25,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    parsed = transcripts.parse(turns.drop("role"), transcripts.train(turns))
-    return transcripts.rendered(parsed).select("conv_id", "turn", "role", "rendered")
+    """The conversations as raw transcripts with varied and missing markers, parsed line by line and rendered."""
+    raw = transcripts.with_markers(table(spark, sf_dir, "conversations"))
+    return transcripts.rendered(transcripts.parse(raw.drop("role"), transcripts.train(raw)))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

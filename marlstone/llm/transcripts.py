@@ -1,15 +1,19 @@
-"""Transcript parsing: a hidden Markov model recovers who speaks, Viterbi decodes it, and turns are rendered.
-
-The states are the roles. A block of a transcript (a turn, or the lines between
-two speaker markers) emits a class made of its marker and of features of its
-lines: how long it is, how many lines it has, whether it asks. Transition and
-emission counts come from a bounded sample of labelled transcripts.
-
-A transcript of any length is decoded in chunks: each chunk gives the best path
-value from every role before it to every role at its end, these small matrices
-are combined in order, and each chunk is then decoded between the roles that the
-combination fixes. That is the Viterbi path of the whole, and no task holds more
-than a chunk of text.
+"""Transcript parsing: a hidden Markov model over lines recovers turns and speakers, Viterbi decodes it, and turns are rendered.
+
+A state is a role that begins a turn with this line, or a role that goes on with
+it. A line emits a class made of its speaker marker, its length, whether it asks
+and whether a blank line stands before it. Transition and emission counts come
+from a bounded sample of labelled transcripts. So a turn is found where the path
+enters a beginning state, with a marker or without one, and a marker inside a
+quoted answer need not begin a turn.
+
+A transcript is stored as one row or as many pieces in order; where a piece ends
+tells the model nothing. It is decoded in chunks: each chunk gives the best path
+value from every state before it to every state at its end, these small matrices
+are combined in order, and each chunk is then decoded between the states that
+the combination fixes. That is the Viterbi path of the whole, and no task holds
+more than a chunk. Only classes travel to the chunks; the texts are exchanged
+once, to meet the states of their lines.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.store import saved
+
 ROLES = ("system", "user", "assistant")
 #: Labelled transcripts that are counted at most: those whose ids hash lowest.
 SAMPLE = 20_000
-#: Turn numbers of a chunk, and the blocks above which a chunk is dealt on by turn and text.
+#: Piece numbers of a chunk, and the pieces above which a chunk is dealt on by number and text.
 CHUNK_TURNS = 64
-CHUNK_BLOCKS = 4096
+CHUNK_PIECES = 4096
 SMOOTHING = 0.5
 
 # Markers that transcripts put before a speaker's words, by role.
@@ -38,40 +44,57 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "agent", "model", "answer", "a", "response"),
 }
 _WORDS = "|".join(sorted((m for names in MARKERS.values() for m in names), key=lambda m: (-len(m), m)))
-# a heading or an opening tag with nothing after the name, or a name that punctuation closes
-_MARKED = rf"[ \t]*(?:(?:#{{1,4}}[ \t]*|<\|im_start\|>)({_WORDS})[ \t]*(?=\n|$)|(?:#{{1,4}}[ \t]*|<\||\[|\*\*)?({_WORDS})[ \t]*(?:\|>|\]|\*\*:?|:|>)[ \t]*)"
-#: A speaker marker at the head of a block; the name is in the first or the second group.
-MARKER = "(?i)^" + _MARKED
-_N_LENGTH, _N_LINES = 8, 4
-CLASSES = (len(ROLES) + 1) * _N_LENGTH * _N_LINES * 2
+#: A speaker marker at the head of a line: a heading or an opening tag with nothing after the name, or a name that punctuation closes; the name is in the first or the second group.
+MARKER = rf"(?i)^[ \t]*(?:(?:#{{1,4}}[ \t]*|<\|im_start\|>)({_WORDS})[ \t]*$|(?:#{{1,4}}[ \t]*|<\||\[|\*\*)?({_WORDS})[ \t]*(?:\|>|\]|:\*\*|\*\*:?|:|>)[ \t]*)"
+_N = len(ROLES)
+#: State k begins a turn of role k, state _N + k goes on with one.
+STATES = 2 * _N
+_N_LENGTH = 8
+CLASSES = (_N + 1) * _N_LENGTH * 2 * 2
+_NEVER = -1e30
 
 
-def blocks_of(transcripts: DataFrame, text: str = "text") -> DataFrame:
-    """(conv_id, turn, text): raw transcripts split before every marked line; what stands before the first is a block too."""
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"(?im)^(?={_MARKED})"), lambda x: F.trim(x) != "")
-    return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text")).withColumn("turn", F.col("turn").cast("bigint"))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _body(text: Column) -> Column:
-    """The words without their marker."""
-    return F.regexp_replace(text, MARKER, "")
+def observed(text: Column) -> Column:
+    """The class that each line of a piece emits, from 0 to CLASSES - 1."""
+    lines = lines_of(text)
 
+    def of_line(line: Column, at: Column) -> Column:
+        name = F.lower(F.concat(F.regexp_extract(line, MARKER, 1), F.regexp_extract(line, MARKER, 2)))
+        marker = F.lit(0)
+        for k, role in enumerate(ROLES, 1):
+            marker = F.when(name.isin(*MARKERS[role]), F.lit(k)).otherwise(marker)
+        length = F.least(F.floor(F.log2(F.length(line) / 8 + 1)), F.lit(_N_LENGTH - 1))
+        asks, after_blank = F.rtrim(line).endswith("?").cast("int"), F.coalesce((F.trim(F.get(lines, at - 1)) == "").cast("int"), F.lit(0))
+        return (((marker * _N_LENGTH + length) * 2 + asks) * 2 + after_blank).cast("smallint")
 
-def observed(text: Column) -> Column:
-    """The class that a block emits, from 0 to CLASSES - 1."""
-    name = F.lower(F.concat(F.regexp_extract(text, MARKER, 1), F.regexp_extract(text, MARKER, 2)))
-    marker = F.lit(0)
-    for k, role in enumerate(ROLES, 1):
-        marker = F.when(name.isin(*MARKERS[role]), F.lit(k)).otherwise(marker)
-    length = F.least(F.floor(F.log2(F.length(text) / 16 + 1)), F.lit(_N_LENGTH - 1))
-    lines = F.least(F.floor(F.log2(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.lit(1))), F.lit(_N_LINES - 1))
-    asks = F.rtrim(text).endswith("?").cast("int")
-    return (((marker * _N_LENGTH + length) * _N_LINES + lines) * 2 + asks).cast("int")
+    return F.transform(lines, of_line)
+
+
+def with_markers(turns: DataFrame, missing: int = 20) -> DataFrame:
+    """Labelled (conv_id, turn, role, text) as raw pieces: a speaker marker of varied style before each text, in ``missing`` of a hundred turns none.
+
+    Style, name and lack depend on a hash of the row, so reruns agree. Turns
+    without a known role get no marker; other columns are kept.
+    """
+    h = F.xxhash64("conv_id", "turn", "text")
+    part = lambda shift, n: F.pmod(F.shiftrightunsigned(h, shift), F.lit(n)).cast("int")
+    name = F.lit(None).cast("string")
+    for role in ROLES:
+        name = F.when(F.col("role") == role, F.element_at(F.lit(list(MARKERS[role])), part(8, len(MARKERS[role])) + 1)).otherwise(name)
+    name = F.when(part(16, 2) == 0, F.initcap(name)).otherwise(name)
+    styles = [("", ": "), ("### ", "\n"), ("<|im_start|>", "\n"), ("[", "] "), ("**", ":** "), ("", "> ")]
+    marker = F.element_at(F.array(*[F.concat(F.lit(a), name, F.lit(b)) for a, b in styles]), part(24, len(styles)) + 1)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return turns.withColumn("text", F.when((part(32, 100) < missing) | marker.isNull(), text).otherwise(F.concat(marker, text)))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Logarithms: start[role], move[role, next role], emit[role, class]."""
+    """Logarithms: start[state], move[state, next state], emit[state, class]."""
 
     start: np.ndarray
     move: np.ndarray
@@ -79,73 +102,106 @@ class Model:
 
 
 def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pseudo-counts: dialogues open with a system or user block and alternate; markers mostly tell the truth."""
-    start = np.array([1.0, 2.0, 0.2])
-    move = np.array([[0.2, 2.0, 0.2], [0.05, 0.3, 3.0], [0.05, 3.0, 0.3]])
-    emit = np.full((len(ROLES), CLASSES), SMOOTHING / CLASSES * 4)
-    marker = np.arange(CLASSES) // (_N_LENGTH * _N_LINES * 2)
-    for k in range(len(ROLES)):
+    """Pseudo-counts: dialogues open with a system or user turn and alternate; markers mostly begin a turn and tell the truth."""
+    start = np.zeros(STATES)
+    start[:_N] = [1.0, 2.0, 0.2]
+    move = np.zeros((STATES, STATES))
+    turn = np.array([[0.2, 2.0, 0.2], [0.05, 0.3, 3.0], [0.05, 3.0, 0.3]])
+    for k in range(_N):
+        move[[k, _N + k], :_N] = turn[k]
+        move[[k, _N + k], _N + k] = 3.0
+    emit = np.full((STATES, CLASSES), SMOOTHING / CLASSES * 4)
+    marker = np.arange(CLASSES) // (_N_LENGTH * 4)
+    for k in range(_N):
         emit[k, marker == k + 1] += 20 / (marker == k + 1).sum()
         emit[k, (marker > 0) & (marker != k + 1)] /= 20
+        emit[_N + k, marker > 0] /= 20
+        emit[_N + k, marker == 0] += 5 / (marker == 0).sum()
     return start, move, emit
 
 
 def model_from(starts: dict, moves: dict, emits: dict) -> Model:
+    """Counts by state; what the prior rules out (a turn that goes on without beginning, or under another role) stays so."""
     start, move, emit = _prior()
-    for role, n in starts.items():
-        start[role] += n
+    for state, n in starts.items():
+        start[state] += n
     for (a, b), n in moves.items():
         move[a, b] += n
-    for (role, seen), n in emits.items():
-        emit[role, seen] += n
-    norm = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Model(norm(start), norm(move), norm(emit))
+    for (state, seen), n in emits.items():
+        emit[state, seen] += n
+
+    def log(x: np.ndarray) -> np.ndarray:
+        x = x / x.sum(axis=-1, keepdims=True)
+        return np.where(x > 0, np.log(np.maximum(x, 1e-300)), _NEVER)
+
+    return Model(log(start), log(move), log(emit))
+
+
+def fold() -> Column:
+    """crc32 of the id's text, modulo 3; remainder 1 is held out."""
+    return F.crc32(F.col("conv_id").cast("string")) % 3
 
 
 def train(turns: DataFrame, sample: int = SAMPLE) -> Model:
-    """Counts over labelled (conv_id, turn, role, text), at most ``sample`` conversations outside the held-out fold."""
+    """Counts over labelled raw (conv_id, turn, role, text), one row a turn, of at most ``sample`` conversations outside the held-out fold."""
     known = turns.filter(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & (fold() != 1))
     chosen = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
     role = F.array_position(F.lit(list(ROLES)), F.col("role")).cast("int") - 1
-    rows = known.join(F.broadcast(chosen), "conv_id").select("conv_id", "turn", role.alias("r"), observed(F.coalesce(F.col("text"), F.lit(""))).alias("o"))
+    rows = saved(known.join(F.broadcast(chosen), "conv_id").select("conv_id", "turn", role.alias("r"), observed(F.col("text")).alias("seen")), "labelled")
+    emits = rows.select("r", F.posexplode("seen").alias("at", "o")).groupBy("r", (F.col("at") > 0).cast("int").alias("on"), "o").agg(F.count("*").alias("n")).collect()
     # a turn's predecessor is the one a number below it; that needs no ordered gathering of a conversation
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("p")).distinct()
-    pairs = rows.join(before, ["conv_id", "turn"], "left").groupBy("p", "r", "o").agg(F.count("*").alias("n")).collect()
-    starts, moves, emits = {}, {}, {}
-    for p, r, o, n in pairs:
+    shape = rows.select("conv_id", "turn", "r", F.size("seen").alias("n"))
+    before = shape.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("p"), (F.col("n") > 1).cast("int").alias("long")).distinct()
+    pairs = shape.join(before, ["conv_id", "turn"], "left").groupBy("p", "long", "r").agg(F.count("*").alias("turns"), F.sum((F.col("n") > 1).cast("int")).alias("several"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("more")).collect()
+    starts, moves = {}, {}
+    for p, long, r, n, several, more in pairs:
+        for key, count in (((r, _N + r), several), ((_N + r, _N + r), more)):
+            moves[key] = moves.get(key, 0) + count
         if p is None:
             starts[r] = starts.get(r, 0) + n
         else:
-            moves[p, r] = moves.get((p, r), 0) + n
-        emits[r, o] = emits.get((r, o), 0) + n
-    return model_from(starts, moves, emits)
+            moves[_N * long + p, r] = moves.get((_N * long + p, r), 0) + n
+    return model_from(starts, moves, {(_N * on + r, o): n for r, on, o, n in emits})
 
 
-def fold() -> Column:
-    """crc32 of the id's text, modulo 3; remainder 1 is held out."""
-    return F.crc32(F.col("conv_id").cast("string")) % 3
-
+def viterbi(model: Model, sequences: list[np.ndarray], firsts: list[int | None], lasts: list[int | None]) -> list[np.ndarray]:
+    """Best states of each sequence; ``firsts`` are the states before them (None: it starts here), ``lasts`` those at their ends (None: any).
 
-def viterbi(model: Model, seen: list[int], first: int | None = None, last: int | None = None) -> list[int]:
-    """Best roles; ``first`` is the role before the sequence (None: it starts here), ``last`` that of its end (None: any)."""
-    if not seen:
-        return []
-    value = (model.start if first is None else model.move[first]) + model.emit[:, seen[0]]
-    back = []
-    for o in seen[1:]:
-        options = value[:, None] + model.move
-        back.append(options.argmax(axis=0))
-        value = options.max(axis=0) + model.emit[:, o]
-    at = int(value.argmax()) if last is None else last
-    path = [at]
-    for step in reversed(back):
-        at = int(step[at])
-        path.append(at)
-    return path[::-1]
+    Sequences of like length are stepped through together.
+    """
+    out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(sequences)
+    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
+    before = np.vstack([model.move, model.start])
+    at = 0
+    while at < len(order):
+        end = at
+        while end < len(order) and len(sequences[order[end]]) <= 2 * len(sequences[order[at]]) + 8:
+            end += 1
+        group, at = order[at:end], end
+        sizes = np.array([len(sequences[i]) for i in group])
+        seen = np.zeros((len(group), sizes.max()), dtype=np.int64)
+        for row, i in enumerate(group):
+            seen[row, : sizes[row]] = sequences[i]
+        value = before[[STATES if firsts[i] is None else firsts[i] for i in group]] + model.emit[:, seen[:, 0]].T
+        back = np.zeros((*seen.shape, STATES), dtype=np.int8)
+        for step in range(1, seen.shape[1]):
+            live = int(np.searchsorted(sizes, step, side="right"))  # sorted by length: the rows from here on go on
+            options = value[live:, :, None] + model.move[None]
+            back[live:, step] = options.argmax(axis=1)
+            value[live:] = options.max(axis=1) + model.emit[:, seen[live:, step]].T
+        state = np.array([value[row].argmax() if lasts[i] is None else lasts[i] for row, i in enumerate(group)])
+        path = np.zeros(seen.shape, dtype=np.int64)
+        for step in range(seen.shape[1] - 1, -1, -1):
+            live = int(np.searchsorted(sizes, step, side="right"))
+            path[live:, step] = state[live:]
+            state[live:] = back[np.arange(live, len(group)), step, state[live:]]
+        for row, i in enumerate(group):
+            out[i] = path[row, : sizes[row]]
+    return out
 
 
 def chunk_matrix(model: Model, seen: list[int]) -> np.ndarray:
-    """Best value of the chunk from each role before it (the last row: from the start) to each role at its end."""
+    """Best value of the chunk from each state before it (the last row: from the start) to each state at its end."""
     value = np.vstack([model.move, model.start]) + model.emit[:, seen[0]]
     for o in seen[1:]:
         value = (value[:, :, None] + model.move[None]).max(axis=1) + model.emit[:, o]
@@ -153,7 +209,7 @@ def chunk_matrix(model: Model, seen: list[int]) -> np.ndarray:
 
 
 def boundaries(matrices: list[np.ndarray]) -> list[int]:
-    """The role at the end of each chunk on the best path through all."""
+    """The state at the end of each chunk on the best path through all."""
     value, back = matrices[0][-1], []
     for m in matrices[1:]:
         options = value[:, None] + m[:-1]
@@ -167,9 +223,12 @@ def boundaries(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
+_CHUNK = "conv string, c1 bigint, c2 bigint, c3 bigint"
+
+
 def _matrices(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [chunk_matrix(model, seen).ravel().tolist() for seen in batch.column("seen").to_pylist()]
+        values = [chunk_matrix(model, [o for piece in pieces for o in piece["seen"]]).ravel().tolist() for pieces in batch.column("pieces").to_pylist()]
         yield batch.select(["conv", "c1", "c2", "c3"]).append_column("m", pa.array(values, pa.list_(pa.float64())))
 
 
@@ -177,62 +236,87 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for chunks in batch.column("chunks").to_pylist():
-            ends = boundaries([np.array(c["m"]).reshape(-1, len(ROLES)) for c in chunks])
-            out.append([{"c1": c["c1"], "c2": c["c2"], "c3": c["c3"], "before": ends[i - 1] if i else None, "last": end} for i, (c, end) in enumerate(zip(chunks, ends, strict=True))])
-        kind = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("c3", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]))
+            ends = boundaries([np.array(c["m"]).reshape(-1, STATES) for c in chunks])
+            out.append([{"c1": c["c1"], "c2": c["c2"], "c3": c["c3"], "before": ends[i - 1] if i else None, "last": end, "final": i == len(ends) - 1} for i, (c, end) in enumerate(zip(chunks, ends, strict=True))])
+        kind = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("c3", pa.int64()), ("before", pa.int32()), ("last", pa.int32()), ("final", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([batch.column("conv"), pa.array(out, kind)], names=["conv", "fixed"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """One row a piece: its key, the states of its lines, and whether it opens or closes its transcript."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("seen", "before", "last")]
-        paths = [viterbi(model, seen, before, last) for seen, before, last in zip(*columns, strict=True)]
-        yield batch.select(["keys"]).append_column("path", pa.array(paths, pa.list_(pa.int32())))
-
-
-def parse(turns: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, turn, text, role): the recovered role of every block.
-
-    ``turns`` has conv_id, turn and text; a role column is not read. Blocks are
-    ordered by turn (null first), of equal turns by a hash of the text; repeated rows count as
-    one block. Rows without a conv_id are each a transcript of their own; null
-    texts count as empty. Other columns are not read; an empty table gives an
-    empty result.
+        convs, chunks, befores, lasts, finals = (batch.column(c).to_pylist() for c in ("conv", "pieces", "before", "last", "final"))
+        paths = viterbi(model, [np.array([o for piece in pieces for o in piece["seen"]]) for pieces in chunks], befores, lasts)
+        rows = {k: [] for k in ("conv", "at", "tie", "states", "opens", "closes")}
+        for conv, pieces, path, before, final in zip(convs, chunks, paths, befores, finals, strict=True):
+            done = 0
+            for k, piece in enumerate(pieces):
+                rows["conv"].append(conv)
+                rows["at"].append(piece["at"])
+                rows["tie"].append(piece["tie"])
+                rows["states"].append(path[done : done + len(piece["seen"])].astype(np.int8))
+                rows["opens"].append(before is None and not k)
+                rows["closes"].append(final is not False and k == len(pieces) - 1)
+                done += len(piece["seen"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def parse(pieces: DataFrame, model: Model) -> DataFrame:
+    """(conv_id, turn, text, states, opens, closes): the state of every line of every piece, and whether it is its transcript's first or last.
+
+    ``pieces`` has conv_id, turn and text; a role column is not read. Pieces are
+    ordered by turn (null first), of equal turns by a hash of the text; repeated
+    rows count as one piece. Rows without a conv_id are each a transcript of
+    their own; null texts count as empty, and an empty text is one empty line.
+    Other columns are not read; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), text.alias("text")).distinct()
-    conv = F.when(F.col("conv_id").isNull(), F.concat(F.lit("n"), F.sha2(F.concat_ws(":", F.col("turn"), F.col("text")), 256))).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    turn = F.col("turn").cast("bigint")
+    conv = F.when(F.col("conv_id").isNull(), F.concat(F.lit("n"), F.sha2(F.concat_ws(":", turn, text), 256))).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     # the order within a conversation: turn, then a hash of the text
-    rows = rows.withColumn("conv", conv).withColumn("at", F.coalesce(F.col("turn"), F.lit(-(1 << 62)))).withColumn("tie", F.xxhash64("text"))
-    key = rows.select("conv_id", "conv", "turn", "at", "tie", "text", observed(F.col("text")).alias("o"), F.floor(F.col("at") / CHUNK_TURNS).alias("c1"))
-    crowded = key.groupBy("conv", "c1").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > CHUNK_BLOCKS)
-    keyed = key.join(crowded, ["conv", "c1"], "left")
-    deal = F.col("blocks").isNotNull()
+    keys = [conv.alias("conv"), F.coalesce(turn, F.lit(-(1 << 62))).alias("at"), F.xxhash64(text).alias("tie")]
+    narrow = saved(pieces.select(*keys, observed(text).alias("seen")), "lines").withColumn("c1", F.floor(F.col("at") / CHUNK_TURNS))
+    crowded = narrow.groupBy("conv", "c1").agg(F.count("*").alias("pieces_n")).filter(F.col("pieces_n") > CHUNK_PIECES)
+    keyed = narrow.join(crowded, ["conv", "c1"], "left")
+    deal = F.col("pieces_n").isNotNull()
     keyed = keyed.withColumn("c2", F.when(deal, F.col("at")).otherwise(F.lit(0))).withColumn("c3", F.when(deal, F.expr("shiftright(tie, 40)")).otherwise(F.lit(0).cast("bigint")))
-    member = F.struct("at", "tie", "o", "turn", "conv_id", "text")
-    chunks = keyed.groupBy("conv", "c1", "c2", "c3").agg(F.sort_array(F.collect_list(member)).alias("members"))
-    seen = chunks.select("conv", "c1", "c2", "c3", F.expr("transform(members, m -> m.o)").alias("seen"), F.expr("transform(members, m -> struct(m.conv_id AS conv_id, m.turn AS turn, m.text AS text))").alias("keys"))
-    several = seen.groupBy("conv").agg(F.count("*").alias("n")).filter("n > 1").select("conv")
-    shape = "conv string, c1 bigint, c2 bigint, c3 bigint, m array<double>"
-    matrices = seen.join(several, "conv", "left_semi").select("conv", "c1", "c2", "c3", "seen").mapInArrow(lambda it: _matrices(it, model), shape)
+    chunks = keyed.groupBy("conv", "c1", "c2", "c3").agg(F.sort_array(F.collect_set(F.struct("at", "tie", "seen"))).alias("pieces"))
+    chunks = saved(chunks, "chunks")
+    several = chunks.groupBy("conv").agg(F.count("*").alias("n")).filter("n > 1").select("conv")
+    matrices = chunks.join(several, "conv", "left_semi").mapInArrow(lambda it: _matrices(it, model), f"{_CHUNK}, m array<double>")
     combined = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("c1", "c2", "c3", "m"))).alias("chunks"))
-    fixed = combined.mapInArrow(_ends, "conv string, fixed array<struct<c1:bigint,c2:bigint,c3:bigint,before:int,last:int>>")
+    fixed = combined.mapInArrow(_ends, "conv string, fixed array<struct<c1:bigint,c2:bigint,c3:bigint,before:int,last:int,final:boolean>>")
     fixed = fixed.select("conv", F.explode("fixed").alias("f")).select("conv", "f.*")
-    ready = seen.join(fixed, ["conv", "c1", "c2", "c3"], "left").select("seen", "keys", "before", "last")
-    id_type = turns.schema["conv_id"].dataType.simpleString()
-    keys = f"array<struct<conv_id:{id_type},turn:bigint,text:string>>"
-    paths = ready.mapInArrow(lambda it: _decoded(it, model), f"keys {keys}, path array<int>")
-    named = F.element_at(F.lit(list(ROLES)), F.col("z.path") + 1).alias("role")
-    return paths.select(F.explode(F.arrays_zip("keys", "path")).alias("z")).select("z.keys.conv_id", "z.keys.turn", "z.keys.text", named)
+    ready = chunks.join(fixed, ["conv", "c1", "c2", "c3"], "left").select("conv", "pieces", "before", "last", "final")
+    paths = ready.mapInArrow(lambda it: _decoded(it, model), "conv string, at bigint, tie bigint, states array<tinyint>, opens boolean, closes boolean")
+    texts = pieces.select("conv_id", turn.alias("turn"), text.alias("text"), *keys).dropDuplicates(["conv", "at", "tie"])
+    return texts.join(paths, ["conv", "at", "tie"]).select("conv_id", "turn", "text", "states", "opens", "closes")
 
 
 def rendered(parsed: DataFrame) -> DataFrame:
-    """``parse``'s rows with ``rendered``: the canonical turn, without the marker it came with."""
-    body = F.btrim(_body(F.col("text")), F.lit(" \t\r\n"))
-    return parsed.withColumn("rendered", F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), body, F.lit("<|im_end|>")))
+    """(conv_id, turn, role, n_turns, rendered) of ``parse``'s rows.
+
+    ``rendered`` is the piece's share of the canonical transcript: every turn as
+    ``<|im_start|>role``, its lines without their marker, ``<|im_end|>``. Pieces
+    joined in order, with nothing between them, are the transcript. ``n_turns``
+    counts the turns that begin in the piece, ``role`` is that of its first line.
+    """
+    named = lambda state: F.element_at(F.lit(list(ROLES)), state.cast("int") % _N + 1)
+    numbered = F.arrays_zip(lines_of(F.col("text")).alias("line"), F.col("states").alias("state"), F.sequence(F.lit(0), F.size("states") - 1).alias("k"))
+
+    def shown(x: Column) -> Column:
+        body = F.regexp_replace(x["line"], MARKER, "")
+        close = F.when(F.col("opens") & (x["k"] == 0), F.lit("")).otherwise(F.lit("<|im_end|>\n"))
+        begin = F.concat(close, F.lit("<|im_start|>"), named(x["state"]), F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("\n"), body)))
+        return F.when(x["state"] < _N, begin).otherwise(F.concat(F.lit("\n"), x["line"]))
+
+    text = F.concat(F.array_join(F.transform(numbered, shown), ""), F.when(F.col("closes"), F.lit("<|im_end|>")).otherwise(F.lit("")))
+    begun = F.size(F.filter("states", lambda s: s < _N)).cast("bigint")
+    return parsed.select("conv_id", "turn", named(F.get("states", F.lit(0))).alias("role"), begun.alias("n_turns"), text.alias("rendered"))
 
 
-def marker_role(text: str) -> str | None:
-    """The role that a block's own marker names."""
-    found = re.match(MARKER, text)
+def marker_role(line: str) -> str | None:
+    """The role that a line's own marker names."""
+    found = re.match(MARKER, line)
     return next(r for r, names in MARKERS.items() if (found[1] or found[2]).lower() in names) if found else None
