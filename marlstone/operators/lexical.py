@@ -1,15 +1,30 @@
-"""BM25 over an inverted index held as tables."""
+"""BM25 over an inverted index held as tables, in memory or stored."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import tokens
+from marlstone.functions.text import strip_accents, tokens
 
 K1, B = 1.5, 0.75
+#: Distinct terms up to which a search names them to the scan of a stored index, whose files are in order of terms.
+PUSHED_TERMS = 500
+
+
+@dataclass(frozen=True)
+class Analyser:
+    """Words of a text, the same for documents and queries: lower-cased, without accents if ``fold``, without ``stop`` words."""
+
+    stop: tuple[str, ...] = ()
+    fold: bool = False
+
+    def words(self, text: Column) -> Column:
+        found = tokens(strip_accents(F.lower(text)) if self.fold else text)
+        return F.filter(found, lambda w: ~w.isin(*self.stop)) if self.stop else found
 
 
 @dataclass(frozen=True)
@@ -18,27 +33,50 @@ class Index:
     documents: DataFrame  # key, dl, k
     terms: DataFrame  # term, df, idf
     totals: DataFrame  # one row: n, avgdl
+    analyser: Analyser = Analyser()
+    stored: bool = False
+
+    def save(self, path: str, files: int = 8) -> None:
+        """Writes the index. Postings carry the share of the score that they give (the weight) and lie in order of terms, so that a
+        search reads the row groups of the asked terms only. ``files`` is the number of ranges of terms."""
+        totals = self.totals.crossJoin(self.postings.agg(F.count("*").alias("postings")))
+        totals.withColumn("analyser", F.lit(json.dumps([self.analyser.stop, self.analyser.fold]))).write.mode("overwrite").parquet(f"{path}/totals")
+        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        heavy = _weights(self.postings.join(self.terms, "term"), self.totals)
+        heavy = heavy.select("term", "key", "tf", "dl", "weight").repartitionByRange(files, "term", "key").sortWithinPartitions("term", "key")
+        heavy.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that ``save`` wrote."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    stop, fold = json.loads(read("totals").first()["analyser"])
+    return Index(read("postings"), read("documents"), read("terms"), read("totals").select("n", "avgdl"), Analyser(tuple(stop), fold), True)
 
 
 def _length_norm() -> Column:
     return K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
 
 
+def _weights(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """Postings with idf, and ``weight``, what each gives to its document's score."""
+    return hits.crossJoin(F.broadcast(totals.select("avgdl"))).withColumn("weight", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + _length_norm()))
+
+
 def _with_idf(postings: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf). df is summed over tf so that the plan reads the same columns as the postings' other readers and shares their exchange."""
     counted = postings.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("bigint")).alias("df")).crossJoin(F.broadcast(totals.select("n")))
     return counted.select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> Index:
+def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), fold: bool = False) -> Index:
     """``key`` is unique. Documents without terms count in N but not in the mean length.
 
     A posting carries its document's length, so scoring joins no lengths.
     """
-    words = tokens(F.col(text))
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(*stop))
-    rows = docs.select(F.col(key).alias("key"), words.alias("words"))
+    analyser = Analyser(stop, fold)
+    rows = docs.select(F.col(key).alias("key"), analyser.words(F.col(text)).alias("words"))
     sized = rows.select("key", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).cast("bigint").alias("dl"), "words")
     # outer, as a plain explode makes the planner test each text's words for emptiness, which finds them twice more
     exploded = sized.select("key", "dl", F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
@@ -46,17 +84,27 @@ def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> I
     lengths = sized.select("key", "dl")
     totals = lengths.agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     documents = lengths.filter("dl > 0").crossJoin(F.broadcast(totals.select("avgdl"))).select("key", "dl", _length_norm().alias("k"))
-    return Index(postings, documents, _with_idf(postings, totals), totals)
+    return Index(postings, documents, _with_idf(postings, totals), totals, analyser)
+
+
+def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
+    """(qid, term): the distinct terms of every query, by the index's own analyser."""
+    return queries.select(qid, F.explode(F.array_distinct(index.analyser.words(F.col(text)))).alias("term"))
 
 
 def search(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
     """(qid, key, lexical): the distinct terms of every query against the postings; unmatched documents score 0 and have no row.
 
     The postings are cut to the terms asked for before they are counted or
-    exchanged; the planner broadcasts those terms while they are small.
+    exchanged; the planner broadcasts those terms while they are small. A stored
+    index has its weights already: nothing is counted, and a few terms are named
+    to its scan.
     """
-    asked = queries.select(qid, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    asked = asked_terms(index, queries, qid, text)
+    if index.stored:
+        some = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        postings = index.postings.filter(F.col("term").isin(some)) if len(some) <= PUSHED_TERMS else index.postings
+        return postings.join(asked, "term").groupBy(qid, "key").agg(F.sum("weight").alias("lexical"))
     postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
     weighed = asked.join(_with_idf(postings, index.totals), "term").select(qid, "term", "idf")
-    hits = postings.join(weighed, "term").crossJoin(F.broadcast(index.totals.select("avgdl"))).withColumn("k", _length_norm())
-    return hits.groupBy(qid, "key").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("k"))).alias("lexical"))
+    return _weights(postings.join(weighed, "term"), index.totals).groupBy(qid, "key").agg(F.sum("weight").alias("lexical"))

@@ -18,6 +18,21 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return ranked(df.orderBy(*order).limit(k), order, None, name)
 
 
+def numbered(df: DataFrame, key: str, bucket: Column, name: str = "number") -> DataFrame:
+    """Numbers rows 0..n-1 by ``key`` without putting all of them into one task.
+
+    ``bucket`` is a coarser form of the key in the same order (its quotient, or a
+    prefix): buckets are counted, the few counts are summed in order, and rows
+    are numbered within their own bucket.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
+    return rows.withColumn("__inside", inside).join(offsets, "__bucket").withColumn(name, (F.col("__offset") + F.col("__inside") - 1).cast("bigint")).drop("__bucket", "__inside", "__offset")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``."""
     return ranked(df, order, keys, "__rank").filter("__rank = 1").drop("__rank")
@@ -25,7 +40,7 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def dense(df: DataFrame, grid: DataFrame, keys: list[str], zero: list[str]) -> DataFrame:
     """Every row of ``grid`` with the measures of ``df``, 0 where it has none."""
-    return F.broadcast(grid).join(df, keys, "left").fillna(0, zero)
+    return grid.join(df, keys, "left").fillna(0, zero)
 
 
 def days(spark, first: str, last: str, name: str = "day") -> DataFrame:
@@ -37,7 +52,7 @@ def z_scores(df: DataFrame, columns: list[str], clip: float | None = None, by: l
     """Population z-scores, 0 where the deviation is 0; null stays null. One aggregate pass for all columns, then a one-row join."""
     moments = [f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     if by:
-        joined = df.join(F.broadcast(df.groupBy(*by).agg(*moments)), by)
+        joined = df.join(df.groupBy(*by).agg(*moments), by)  # as many rows as groups: the planner may broadcast them
     else:
         joined = df.crossJoin(F.broadcast(df.agg(*moments)))  # one row
     for c in columns:

@@ -6,11 +6,14 @@ SQL for the check.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import shared_dir
+
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that is derived from ``sf_dir`` and kept for this application; ``write`` makes it on first use.
+
+    It lies in the folder of ``spark.checkpoint.dir``, which driver and executors share; a ``local[...]`` master may use its own.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}-{name}"
+        write(_STORED[key])
+    return _STORED[key]
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, item_id, rating 0.5 to 5.0, rated_at, line_id): order lines as ratings of parts by customers."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")

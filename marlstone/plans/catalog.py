@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.relational import latest, ranked, top_k, upsert
+from marlstone.operators.relational import latest, numbered, ranked, top_k, upsert
 from marlstone.plans.base import CATALOG, CREDITS, RATINGS, catalog, credits, query, ratings, table
 
+#: Keys of one bucket when dense numbers are given out.
+ID_BUCKET = 100_000
+
 C, R, P = f"WITH {CATALOG} ", f"WITH {RATINGS} ", f"WITH {CREDITS} "
 CP = f"WITH {CATALOG}, {CREDITS} "
 
@@ -44,7 +47,7 @@ def _latest(spark, sf):
 def ratings_ingest(spark, sf):
     rows = _latest(spark, sf)
     kept = rows.groupBy("user_id").count().filter("count >= 30").select("user_id")
-    ids = kept.withColumn("u", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("bigint"))  # one row a user
+    ids = numbered(kept, "user_id", F.floor(F.col("user_id") / ID_BUCKET), "u")
     return rows.join(ids, "user_id").select("u", "item_id", "rating")
 
 
@@ -169,7 +172,7 @@ def implicit_rating(spark, sf):
 def conditional_group_filter(spark, sf):
     items = catalog(spark, sf)
     sizes = items.groupBy("genre").agg(F.count("*").alias("size"))
-    return items.join(F.broadcast(sizes), "genre").filter("size <= 30 OR votes >= 25").select("item_id", "genre")
+    return items.join(sizes, "genre").filter("size <= 30 OR votes >= 25").select("item_id", "genre")
 
 
 @query(C + "SELECT item_id, title, round(score, 4) AS score, (year // 10) * 10 AS decade FROM catalog")
@@ -261,7 +264,7 @@ def reconcile_ids(spark, sf):
 @query("WITH u AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS dense_id FROM (SELECT DISTINCT o_custkey FROM orders)) SELECT o_orderkey, dense_id FROM orders JOIN u USING (o_custkey)")
 def dense_remap(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    ids = orders.select("o_custkey").distinct().withColumn("dense_id", (F.row_number().over(Window.orderBy("o_custkey")) - 1).cast("bigint"))  # one row a user
+    ids = numbered(orders.select("o_custkey").distinct(), "o_custkey", F.floor(F.col("o_custkey") / ID_BUCKET), "dense_id")
     return orders.join(ids, "o_custkey").select("o_orderkey", "dense_id")
 
 
@@ -604,15 +607,18 @@ def accent_sort(spark, sf):
     return ranked(names.withColumn("plain", F.lower(strip_accents("name"))), [F.col("plain"), F.col("name")], name="position").select("name", "position")
 
 
-@query()
+_SEEDED = "md5('{0}:' || {1}::VARCHAR)"
+
+
+@query(R + f" SELECT * FROM ratings ORDER BY {_SEEDED.format(7, 'line_id')}, line_id LIMIT 500")
 def sample_n(spark, sf):
     """Exactly 500 rows without replacement, the same ones every time."""
-    return ratings(spark, sf).orderBy(F.xxhash64("line_id", F.lit(7)), "line_id").limit(500)
+    return ratings(spark, sf).orderBy(F.md5(F.concat(F.lit("7:"), F.col("line_id").cast("string"))), "line_id").limit(500)
 
 
-@query()
+@query(f"SELECT item_id, CASE WHEN row_number() OVER (ORDER BY {_SEEDED.format(42, 'item_id')}, item_id) <= round_even((SELECT count(*) FROM benchmark) * 2 / 3, 0) THEN 'dev' ELSE 'test' END AS split FROM benchmark")
 def seeded_split(spark, sf):
     """Benchmark items to a dev and a test part: by the order of a seeded hash, cut at two thirds."""
-    items = table(spark, sf, "benchmark").select("item_id")
-    placed = ranked(items, [F.xxhash64("item_id", F.lit(42)), F.col("item_id")], name="k").crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
-    return placed.select("item_id", F.when(F.col("k") <= F.bround(F.col("n") * 2 / 3), "dev").otherwise("test").alias("split"))
+    items = table(spark, sf, "benchmark").select("item_id").withColumn("h", F.concat(F.md5(F.concat(F.lit("42:"), F.col("item_id").cast("string"))), F.lpad(F.col("item_id").cast("string"), 20, "0")))
+    placed = numbered(items, "h", F.substring("h", 1, 2), "k").crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
+    return placed.select("item_id", F.when(F.col("k") < F.bround(F.col("n") * 2 / 3), "dev").otherwise("test").alias("split"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from marlstone.functions.vector import blend, centroids, dot, norm, unit
 from marlstone.operators import lexical, vectors
 from marlstone.operators.relational import fuse_ranks, ranked, top_k, z_scores
-from marlstone.plans.base import CATALOG, catalog, query, table
-from marlstone.plans.textual import _markup_sql, plain_text
+from marlstone.plans.base import CATALOG, CREDITS, catalog, credits, query, stored, table
+from marlstone.plans.textual import _STOP, STOP, _markup_sql, content_words, plain_text
 
 C = f"WITH {CATALOG} "
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
@@ -41,13 +41,16 @@ _MEAN = "m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(e[i]) AS x FRO
 @query(f"WITH {V}, {_MEAN}, d AS (SELECT vec_id, list_transform(list_zip(e, m), lambda p: p[1] - p[2]) AS d FROM v, m) SELECT d.vec_id, round({_DOT.format('d.d', 'q.d')} / sqrt({_DOT.format('d.d', 'd.d')} * {_DOT.format('q.d', 'q.d')}), 6) AS sim FROM d, d q WHERE q.vec_id = 5 AND d.vec_id <> 5 ORDER BY sim DESC, d.vec_id LIMIT 30")
 def centered_cosine(spark, sf):
     rows = _vectors(spark, sf)
-    mean = F.broadcast(centroids(rows, "e", []).withColumnRenamed("centroid", "m"))
+    scored = _centred(rows.filter("vec_id <> 5").crossJoin(_one(spark, sf, 5)), centroids(rows, "e", [])).select("vec_id", "sim")
+    return scored.orderBy(F.col("sim").desc(), "vec_id").limit(30)
+
+
+def _centred(rows, mean):
+    """``rows`` (e, q) with ``sim``, the cosine of both less the mean; expanded, so that no centred copy of the vectors is made."""
     a, q, m = F.col("e"), F.col("q"), F.col("m")
-    # expanded, so that no centred copy of the vectors is made
     top = dot(a, q) - dot(a, m) - dot(m, q) + dot(m, m)
     low = F.sqrt((dot(a, a) - 2 * dot(a, m) + dot(m, m)) * (dot(q, q) - 2 * dot(q, m) + dot(m, m)))
-    scored = rows.filter("vec_id <> 5").crossJoin(_one(spark, sf, 5)).crossJoin(mean).select("vec_id", F.round(top / low, 6).alias("sim"))
-    return scored.orderBy(F.col("sim").desc(), "vec_id").limit(30)
+    return rows.crossJoin(F.broadcast(mean.withColumnRenamed("centroid", "m"))).withColumn("sim", F.round(top / low, 6))
 
 
 @query(f"WITH {V}, c AS (SELECT label, i, avg(e[i]) AS x FROM v, range(1, 65) t(i) GROUP BY ALL) SELECT label, i::INT - 1 AS at, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS value FROM c")
@@ -82,7 +85,7 @@ def zscore_clip(spark, sf):
 @query(C + "SELECT item_id, genre, CASE WHEN max(votes) OVER w = min(votes) OVER w THEN 100 ELSE round((votes - min(votes) OVER w) * 100 / (max(votes) OVER w - min(votes) OVER w), 4) END::DOUBLE AS relevance FROM catalog WINDOW w AS (PARTITION BY genre)")
 def minmax_relevance(spark, sf):
     items = catalog(spark, sf)
-    ends = F.broadcast(items.groupBy("genre").agg(F.min("votes").alias("low"), F.max("votes").alias("high")))
+    ends = items.groupBy("genre").agg(F.min("votes").alias("low"), F.max("votes").alias("high"))
     return items.join(ends, "genre").select("item_id", "genre", F.when(F.col("high") == F.col("low"), 100.0).otherwise(F.round((F.col("votes") - F.col("low")) * 100 / (F.col("high") - F.col("low")), 4)).alias("relevance"))
 
 
@@ -93,15 +96,21 @@ def rrf_fusion(spark, sf):
     return fuse_ranks(lists, "item_id").select("item_id", F.round("fused", 6).alias("fused")).orderBy(F.col("fused").desc(), "item_id").limit(40)
 
 
-BM = r"""tok AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT key, term, count(*) AS tf FROM tok GROUP BY ALL),
+#: The analyser of all BM25 queries: lower case, no accents, no stop words; documents and queries alike.
+ANALYSED = f"list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
+BM = f"""tok AS (SELECT doc_id AS key, unnest({ANALYSED}) AS term FROM documents), tf AS (SELECT key, term, count(*) AS tf FROM tok GROUP BY ALL),
     dl AS (SELECT key, sum(tf)::BIGINT AS dl FROM tf GROUP BY key), n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(dl) FROM dl) AS avgdl),
     k AS (SELECT key, dl, 1.5 * (0.25 + 0.75 * dl / avgdl) AS k FROM dl, n), idf AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term, n),
-    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark),
+    asked AS (SELECT DISTINCT item_id, unnest({ANALYSED}) AS term FROM benchmark),
     bm AS (SELECT item_id, key, sum(idf * tf * 2.5 / (tf + k)) AS lexical FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN k USING (key) GROUP BY ALL)"""
 
 
 def _index(spark, sf):
-    return lexical.build(table(spark, sf, "documents"), "doc_id", "text")
+    return lexical.build(table(spark, sf, "documents"), "doc_id", "text", STOP, fold=True)
+
+
+def _stored_index(spark, sf):
+    return lexical.load(spark, stored(spark, sf, "bm25", lambda path: _index(spark, sf).save(path)))
 
 
 @query(f"WITH {BM} SELECT key AS doc_id, term, tf FROM tf")
@@ -122,14 +131,21 @@ def bm25_topk(spark, sf):
     return top_k(scored, 10, [F.col("score").desc(), F.col("key")], ["item_id"]).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
 
 
+@query(f"WITH {BM} SELECT item_id, key AS doc_id, score, rank FROM (SELECT item_id, key, round(lexical, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, key) AS rank FROM bm) WHERE rank <= 10")
+def bm25_stored(spark, sf):
+    """``bm25_topk`` from the stored index, which the first call writes."""
+    scored = lexical.search(_stored_index(spark, sf), table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("lexical", 6))
+    return top_k(scored, 10, [F.col("score").desc(), F.col("key")], ["item_id"]).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
 @query("WITH documents AS (SELECT page_id AS doc_id, " + _markup_sql("html") + f" AS text FROM pages), {BM} SELECT item_id, key AS page_id, score FROM (SELECT item_id, key, round(lexical, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, key) AS rank FROM bm) WHERE rank <= 5")
 def bm25_second_field(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", plain_text(F.col("html")).alias("body"))
-    scored = lexical.search(lexical.build(pages, "page_id", "body"), table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("lexical", 6))
+    scored = lexical.search(lexical.build(pages, "page_id", "body", STOP, fold=True), table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("lexical", 6))
     return top_k(scored, 5, [F.col("score").desc(), F.col("key")], ["item_id"]).select("item_id", F.col("key").alias("page_id"), "score")
 
 
-@query(r"""WITH tok AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT key, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+@query(f"""WITH tok AS (SELECT doc_id AS key, unnest({ANALYSED}) AS term FROM documents), tf AS (SELECT key, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     w AS (SELECT key, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), u AS (SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM w)
     SELECT b.key AS doc_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (term) WHERE a.key = 0 AND b.key <> 0 GROUP BY b.key ORDER BY sim DESC, doc_id LIMIT 20""")
 def tfidf_cosine(spark, sf):
@@ -150,24 +166,40 @@ W = {"lexical": 1.0, "synopsis": 0.6, "keyword": 0.8, "maxsim": 0.5}
 PRIOR, CLIP = 0.35, 8.0
 _QUERY, _SYN, _KEY = 3, 3, 11
 
+#: What a title is to a film, the head of a text is to a document: the share of the query's words in it stands for the name score.
+_NAME = f"(len(list_intersect((SELECT list(term) FROM asked WHERE item_id = {_QUERY}), {ANALYSED.replace('text', 'left(text, 60)')}))::DOUBLE / (SELECT count(*) FROM asked WHERE item_id = {_QUERY}))"
+#: The same of the first 400 characters stands for a second, dearer scorer.
+_SECOND = _NAME.replace("left(text, 60)", "left(text, 400)")
+
 S = f"""{BM}, {V}, scored AS (
     SELECT doc_id, lang, source, text, coalesce(b.lexical, 0) AS lexical, {_DOT.format('v.e', 's.e')} AS synopsis, {_DOT.format('v.e', 'w.e')} AS keyword, l.best AS maxsim, ln(1 + n_chars) AS prior
-    FROM documents JOIN v ON vec_id = doc_id LEFT JOIN (SELECT * FROM bm WHERE item_id = {_QUERY}) b ON b.key = doc_id, (SELECT e FROM v WHERE vec_id = {_SYN}) s, (SELECT e FROM v WHERE vec_id = {_KEY}) w,
-         (SELECT label AS lab, max({_DOT.format('v.e', 'q.e')}) AS best FROM v, (SELECT e FROM v WHERE vec_id = {_SYN}) q GROUP BY label) l WHERE l.lab = v.label),
-    z AS (SELECT *, {', '.join(f"greatest(-{CLIP}, least({CLIP}, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())) AS z_{c}" for c in (*W, 'prior'))} FROM scored),
+    FROM documents CROSS JOIN (SELECT e FROM v WHERE vec_id = {_SYN}) s CROSS JOIN (SELECT e FROM v WHERE vec_id = {_KEY}) w LEFT JOIN v ON v.vec_id = doc_id
+         LEFT JOIN (SELECT * FROM bm WHERE item_id = {_QUERY}) b ON b.key = doc_id
+         LEFT JOIN (SELECT label AS lab, max({_DOT.format('v.e', 'q.e')}) AS best FROM v, (SELECT e FROM v WHERE vec_id = {_SYN}) q GROUP BY label) l ON l.lab = v.label),
+    z AS (SELECT *, {', '.join(f"CASE WHEN {c} IS NULL THEN 0 ELSE greatest(-{CLIP}, least({CLIP}, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())) END AS z_{c}" for c in (*W, 'prior'))} FROM scored),
     fused AS (SELECT *, {' + '.join(f"{w} * greatest(z_{c}, 0)" for c, w in W.items())} AS content, {' + '.join(f"{w} * greatest(z_{c}, 0)" for c, w in W.items())} + {PRIOR} * z_prior AS fusion FROM z)"""
 
 
 def _scored(spark, sf):
-    """All signals of one query for every document that has a vector, with their z-scores over all of them."""
+    """All signals of one query for every document. z-scores are over the documents that have the signal; without it they are 0, and the document stays."""
     docs, rows = table(spark, sf, "documents"), _vectors(spark, sf)
     asked = table(spark, sf, "benchmark").filter(F.col("item_id") == _QUERY)
     hits = lexical.search(_index(spark, sf), asked, "item_id", "text").select(F.col("key").alias("doc_id"), "lexical")
     sims = rows.crossJoin(_one(spark, sf, _SYN, "s")).crossJoin(_one(spark, sf, _KEY, "w"))
     sims = sims.select(F.col("vec_id").alias("doc_id"), "label", dot(F.col("e"), F.col("s")).alias("synopsis"), dot(F.col("e"), F.col("w")).alias("keyword"))
     best = sims.groupBy("label").agg(F.max("synopsis").alias("maxsim"))
-    joined = docs.join(sims.join(best, "label"), "doc_id").join(hits, "doc_id", "left").fillna(0.0, ["lexical"]).withColumn("prior", F.log1p("n_chars"))
-    return z_scores(joined, [*W, "prior"], clip=CLIP)
+    joined = docs.join(sims.join(best, "label"), "doc_id", "left").join(hits, "doc_id", "left").fillna(0.0, ["lexical"]).withColumn("prior", F.log1p("n_chars"))
+    return z_scores(joined, [*W, "prior"], clip=CLIP).fillna(0.0, [f"z_{c}" for c in (*W, "prior")])
+
+
+def _with_cover(rows, spark, sf, head: int, name: str):
+    """``rows`` with ``name``, the share of the query's distinct words that stand in the first ``head`` characters of the document."""
+    index = _index(spark, sf)
+    asked = lexical.asked_terms(index, table(spark, sf, "benchmark").filter(F.col("item_id") == _QUERY), "item_id", "text")
+    words = F.broadcast(asked.agg(F.collect_set("term").alias("__asked")))  # one row, the words of one query
+    heads = table(spark, sf, "documents").select("doc_id", index.analyser.words(F.left("text", F.lit(head))).alias("__head"))
+    cover = heads.crossJoin(words).select("doc_id", (F.size(F.array_intersect("__asked", "__head")) / F.size("__asked")).alias(name))
+    return rows.join(cover, "doc_id")
 
 
 def _fused(spark, sf, weights=W):
@@ -190,23 +222,22 @@ def popularity_prior(spark, sf):
     return z_scores(catalog(spark, sf).select("item_id", F.log1p("votes").alias("x")), ["x"]).select("item_id", F.round(PRIOR * F.col("z_x"), 6).alias("prior"))
 
 
-_NAME = "(doc_id % 10) / 10.0"
-
-
-@query(f"WITH {S} SELECT doc_id, round(least(1, greatest(1 / (1 + exp(-0.85 * (greatest(z_lexical, z_synopsis, z_keyword) - 1.4))), CASE WHEN lang = 'en' THEN {_NAME} ELSE 0 END)), 5) AS confidence FROM fused")
+@query(f"WITH {S} SELECT doc_id, round(least(1, greatest(1 / (1 + exp(-0.85 * (greatest(z_lexical, z_synopsis, z_keyword) - 1.4))), {_NAME})), 5) AS confidence FROM fused")
 def confidence(spark, sf):
     logistic = 1 / (1 + F.exp(-0.85 * (F.greatest("z_lexical", "z_synopsis", "z_keyword") - 1.4)))
-    name = F.when(F.col("lang") == "en", (F.col("doc_id") % 10) / 10).otherwise(0.0)
-    return _scored(spark, sf).select("doc_id", F.round(F.least(F.lit(1.0), F.greatest(logistic, name)), 5).alias("confidence"))
+    rows = _with_cover(_scored(spark, sf), spark, sf, 60, "name")
+    return rows.select("doc_id", F.round(F.least(F.lit(1.0), F.greatest(logistic, F.col("name"))), 5).alias("confidence"))
 
 
-_N = "len(string_split(title, ' '))"
+_CONTENT = f"len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[^ \\t\\n]+'), lambda w: len(w) > 2 AND NOT list_contains({_STOP}, w)))"
 
 
-@query("SELECT item_id, CASE WHEN n <= 3 THEN 0.30 WHEN n <= 6 THEN 0.25 ELSE 0.20 END::DOUBLE AS lexical_weight, CASE WHEN n <= 3 THEN 0.6 WHEN n <= 5 THEN 0.3 ELSE 0.05 END::DOUBLE AS name_weight FROM (SELECT item_id, len(string_split(text, ' ')) AS n FROM benchmark)")
+@query(f"SELECT item_id, CASE WHEN n <= 3 THEN 0.30 WHEN n <= 6 THEN 0.25 ELSE 0.20 END::DOUBLE AS lexical_weight, CASE WHEN n <= 3 THEN 0.6 WHEN n <= 5 THEN 0.3 ELSE 0.05 END::DOUBLE AS name_weight FROM (SELECT item_id, {_CONTENT} AS n FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:1 + item_id % 12], ' ') AS text FROM benchmark))")
 def adaptive_weight(spark, sf):
-    n = F.size(F.split("text", " "))
-    return table(spark, sf, "benchmark").select("item_id", F.when(n <= 3, 0.30).when(n <= 6, 0.25).otherwise(0.20).alias("lexical_weight"), F.when(n <= 3, 0.6).when(n <= 5, 0.3).otherwise(0.05).alias("name_weight"))
+    """By the number of content words; the items' first one to twelve words are the queries."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, (F.col("item_id") % 12 + 1).cast("int")), " ").alias("text"))
+    n = F.col("n")
+    return asked.select("item_id", F.size(content_words(F.col("text"))).alias("n")).select("item_id", F.when(n <= 3, 0.30).when(n <= 6, 0.25).otherwise(0.20).alias("lexical_weight"), F.when(n <= 3, 0.6).when(n <= 5, 0.3).otherwise(0.05).alias("name_weight"))
 
 
 @query("SELECT p_partkey, CASE WHEN best >= 0.92 THEN 0.9 WHEN best >= 0.85 THEN greatest(base, 0.6) ELSE base END::DOUBLE AS weight, CASE WHEN best >= 0.85 THEN 'name' ELSE 'description' END AS intent FROM (SELECT p_partkey, p_size / 50.0 AS best, CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0.05 END AS base FROM part)")
@@ -226,9 +257,38 @@ def signal_shares(spark, sf):
     return rows.filter("s.x > 0").select("doc_id", "s.signal", F.round(F.col("s.x") / F.col("total"), 4).alias("share"))
 
 
-@query(f"WITH {S} SELECT source, round(min(greatest(z_lexical, z_synopsis)), 5) AS weakest FROM z GROUP BY source ORDER BY weakest DESC, source LIMIT 5")
+#: Clues about a person, as (item whose text is the clue, vector that stands for its encoding).
+_CLUES = ((3, 3), (5, 11), (8, 20))
+_PEOPLE = 97
+
+
+@query(f"""WITH {BM}, {V}, {CREDITS}, clues AS (SELECT * FROM (VALUES {', '.join(map(str, _CLUES))}) c(item_id, vec)), people AS (SELECT DISTINCT doc_id % {_PEOPLE} + 1 AS person FROM documents),
+    lex AS (SELECT c.item_id, person, coalesce(max(lexical), 0) AS x FROM clues c CROSS JOIN people LEFT JOIN bm ON bm.item_id = c.item_id AND bm.key % {_PEOPLE} + 1 = person GROUP BY ALL),
+    sem AS (SELECT c.item_id, v.vec_id % {_PEOPLE} + 1 AS person, max({_DOT.format('v.e', 'q.e')}) AS x FROM clues c JOIN v q ON q.vec_id = c.vec CROSS JOIN v GROUP BY ALL),
+    zl AS (SELECT item_id, person, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS z FROM lex WINDOW w AS (PARTITION BY item_id)), zs AS (SELECT item_id, person, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS z FROM sem WINDOW w AS (PARTITION BY item_id)),
+    best AS (SELECT person, round(min(greatest(0, coalesce(zl.z, 0), coalesce(zs.z, 0))), 6) AS score FROM zl LEFT JOIN zs USING (item_id, person) GROUP BY person),
+    top AS (SELECT * FROM best WHERE score > 0 ORDER BY score DESC, person LIMIT 50)
+    SELECT item_id, max(score) AS boost FROM top JOIN credits ON person_id = top.person WHERE role = 'actor' AND rank < 10 OR role = 'director' GROUP BY item_id""")
 def person_bio_match(spark, sf):
-    return _scored(spark, sf).groupBy("source").agg(F.round(F.min(F.greatest("z_lexical", "z_synopsis")), 5).alias("weakest")).orderBy(F.col("weakest").desc(), "source").limit(5)
+    """Items of the people whose biographies fit every clue.
+
+    A person's biography is the documents that fall to them, each a passage. A
+    clue's score is the better of words (BM25) and meaning (the best passage's
+    product), both as positive z-scores over people; the weakest clue counts.
+    """
+    clues = F.broadcast(spark.createDataFrame(_CLUES, "item_id int, vec int"))
+    person = lambda key: (F.col(key) % _PEOPLE + 1).alias("person")
+    people = table(spark, sf, "documents").select(person("doc_id")).distinct()
+    asked = table(spark, sf, "benchmark").join(clues.select("item_id"), "item_id", "left_semi")
+    hits = lexical.search(_index(spark, sf), asked, "item_id", "text").groupBy("item_id", person("key")).agg(F.max("lexical").alias("lex"))
+    queries = F.broadcast(_vectors(spark, sf).join(clues, F.col("vec_id") == F.col("vec")).select("item_id", F.col("e").alias("q")))
+    close = _vectors(spark, sf).crossJoin(queries).groupBy("item_id", person("vec_id")).agg(F.max(dot(F.col("e"), F.col("q"))).alias("sem"))  # three clues
+    rows = people.crossJoin(clues.select("item_id")).join(hits, ["item_id", "person"], "left").fillna(0.0, ["lex"]).join(close, ["item_id", "person"], "left")
+    fit = F.greatest(F.lit(0.0), F.coalesce("z_lex", F.lit(0.0)), F.coalesce("z_sem", F.lit(0.0)))
+    best = z_scores(rows, ["lex", "sem"], by=["item_id"]).groupBy("person").agg(F.round(F.min(fit), 6).alias("score")).filter("score > 0")
+    top = F.broadcast(best.orderBy(F.col("score").desc(), "person").limit(50))
+    roles = credits(spark, sf).filter("role = 'actor' AND rank < 10 OR role = 'director'")
+    return roles.join(top.withColumnRenamed("person", "person_id"), "person_id").groupBy("item_id").agg(F.max("score").alias("boost"))
 
 
 _TOKENS = ("redd", "gear", "widgets")
@@ -245,29 +305,28 @@ def entity_channel(spark, sf):
     return hits.select("item_id", F.round(F.col("n") / len(_TOKENS), 6).alias("entity"))
 
 
-_BLEND = f", c AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY round(fusion, 5) DESC, doc_id) AS a, row_number() OVER (ORDER BY round(z_lexical, 5) DESC, doc_id) AS b, row_number() OVER (ORDER BY round(z_synopsis, 5) DESC, doc_id) AS d FROM fused) WHERE a <= 60 OR b <= 60 OR d <= 60), r AS (SELECT doc_id, lang, source, round({{0}}, 5) AS f, {_NAME} AS name FROM fused JOIN c USING (doc_id))"
+_BLEND = f", c AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY round(fusion, 5) DESC, doc_id) AS a, row_number() OVER (ORDER BY round(z_lexical, 5) DESC, doc_id) AS b, row_number() OVER (ORDER BY round(z_synopsis, 5) DESC, doc_id) AS d FROM fused) WHERE a <= 60 OR b <= 60 OR d <= 60), r AS (SELECT doc_id, lang, source, round({{0}}, 5) AS f, {{1}} AS name FROM fused JOIN c USING (doc_id))"
 
 
-@query(f"WITH {S}{_BLEND.format('fusion')} SELECT doc_id, round(0.3 * name + 0.7 * CASE WHEN max(f) OVER () = min(f) OVER () THEN 0 ELSE (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) END, 4) AS blended FROM r")
+@query(f"WITH {S}{_BLEND.format('fusion', _NAME)} SELECT doc_id, round(0.3 * name + 0.7 * CASE WHEN max(f) OVER () = min(f) OVER () THEN 0 ELSE (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) END, 4) AS blended FROM r")
 def auto_blend(spark, sf):
-    return _blended(_fused(spark, sf), "fusion").select("doc_id", F.round("blended", 4).alias("blended"))
+    return _blended(spark, sf, "fusion").select("doc_id", F.round("blended", 4).alias("blended"))
 
 
-def _blended(rows, signal: str, name_weight: float = 0.3):
+def _blended(spark, sf, signal: str, name_weight: float = 0.3):
     """Name score and min-max fused score over the union of the top lists of several signals."""
-    name = (F.col("doc_id") % 10) / 10
-    kept = rows.select("doc_id", "lang", "source", *[F.round(c, 5).alias(c) for c in ("fusion", "content", "z_lexical", "z_synopsis")])
+    kept = _fused(spark, sf).select("doc_id", "lang", "source", *[F.round(c, 5).alias(c) for c in ("fusion", "content", "z_lexical", "z_synopsis")])
     tops = [kept.orderBy(F.col(c).desc(), "doc_id").limit(60).select("doc_id") for c in ("fusion", "z_lexical", "z_synopsis")]
-    pool = kept.join(F.broadcast(tops[0].union(tops[1]).union(tops[2]).distinct()), "doc_id")
+    pool = _with_cover(kept.join(F.broadcast(tops[0].union(tops[1]).union(tops[2]).distinct()), "doc_id"), spark, sf, 60, "name")
     ends = F.broadcast(pool.agg(F.min(signal).alias("low"), F.max(signal).alias("high")))
     scaled = F.when(F.col("high") == F.col("low"), 0.0).otherwise((F.col(signal) - F.col("low")) / (F.col("high") - F.col("low")))
-    return pool.crossJoin(ends).withColumn("blended", name_weight * name + (1 - name_weight) * scaled)
+    return pool.crossJoin(ends).withColumn("blended", name_weight * F.col("name") + (1 - name_weight) * scaled)
 
 
-@query(f"WITH {S}{_BLEND.format('content')} SELECT doc_id, round(0.2 * name + 0.8 * CASE WHEN max(f) OVER () = min(f) OVER () THEN 0 ELSE (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) END, 4) AS blended FROM r")
+@query(f"WITH {S}{_BLEND.format('content', _NAME)} SELECT doc_id, round(0.2 * name + 0.8 * CASE WHEN max(f) OVER () = min(f) OVER () THEN 0 ELSE (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) END, 4) AS blended FROM r")
 def constrained_rank(spark, sf):
     """Without the prior, and with the name's base weight."""
-    return _blended(_fused(spark, sf), "content", 0.2).select("doc_id", F.round("blended", 4).alias("blended"))
+    return _blended(spark, sf, "content", 0.2).select("doc_id", F.round("blended", 4).alias("blended"))
 
 
 @query(f"WITH {S} SELECT doc_id, round(content, 5) AS score FROM fused WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3') ORDER BY round(content, 5) DESC, doc_id LIMIT 10")
@@ -277,15 +336,16 @@ def facet_search(spark, sf):
     return found.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
-@query(f"WITH {S}, h AS (SELECT doc_id, round(fusion, 5) AS f, (doc_id * 37 % 100) / 100.0 AS ce, row_number() OVER (ORDER BY round(fusion, 5) DESC, doc_id) AS k FROM fused), m AS (SELECT *, (ce - min(ce) OVER ()) / (max(ce) OVER () - min(ce) OVER ()) AS a, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS b FROM h WHERE k <= 50), u AS (SELECT doc_id, 0 AS tail, round(0.5 * a + 0.5 * b, 5) AS s, k FROM m UNION ALL SELECT doc_id, 1, 0, k FROM h WHERE k > 50) SELECT doc_id, row_number() OVER (ORDER BY tail, s DESC, k) AS position FROM u")
+@query(f"WITH {S}, h AS (SELECT doc_id, text, round(fusion, 5) AS f FROM fused ORDER BY f DESC, doc_id LIMIT 200), hk AS (SELECT *, row_number() OVER (ORDER BY f DESC, doc_id) AS k FROM h), c AS (SELECT doc_id, f, k, {_SECOND} AS ce FROM hk WHERE k <= 50), m AS (SELECT *, CASE WHEN max(ce) OVER () = min(ce) OVER () THEN 0 ELSE (ce - min(ce) OVER ()) / (max(ce) OVER () - min(ce) OVER ()) END AS a, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS b FROM c), u AS (SELECT doc_id, 0 AS tail, round(0.5 * a + 0.5 * b, 5) AS s, k FROM m UNION ALL SELECT doc_id, 1, 0, k FROM hk WHERE k > 50) SELECT doc_id, row_number() OVER (ORDER BY tail, s DESC, k) AS position FROM u")
 def rerank_blend(spark, sf):
-    """The first 50 reordered by half a second score, the tail as it was."""
-    order = ranked(_fused(spark, sf).select("doc_id", F.round("fusion", 5).alias("f"), ((F.col("doc_id") * 37 % 100) / 100).alias("ce")), [F.col("f").desc(), F.col("doc_id")], name="k")
-    head = order.filter("k <= 50")
+    """The first 200, of which the first 50 are reordered by half a second score and the others keep their places."""
+    order = top_k(_fused(spark, sf).select("doc_id", F.round("fusion", 5).alias("f")), 200, [F.col("f").desc(), F.col("doc_id")], name="k")
+    head = _with_cover(order.filter("k <= 50"), spark, sf, 400, "ce")
     ends = F.broadcast(head.agg(*[f(c).alias(f"{n}_{c}") for c in ("f", "ce") for n, f in (("lo", F.min), ("hi", F.max))]))
-    scaled = lambda c: (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+    scaled = lambda c: F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
     mixed = head.crossJoin(ends).select("doc_id", F.lit(0).alias("tail"), F.round(0.5 * scaled("ce") + 0.5 * scaled("f"), 5).alias("s"), "k")
-    return ranked(mixed.unionByName(order.filter("k > 50").select("doc_id", F.lit(1).alias("tail"), F.lit(0.0).alias("s"), "k")), [F.col("tail"), F.col("s").desc(), F.col("k")], name="position").select("doc_id", "position")
+    both = mixed.unionByName(order.filter("k > 50").select("doc_id", F.lit(1).alias("tail"), F.lit(0.0).alias("s"), "k"))
+    return ranked(both, [F.col("tail"), F.col("s").desc(), F.col("k")], name="position").select("doc_id", "position")
 
 
 @query("WITH local AS (SELECT p_partkey AS id, p_size / 50.0 AS s FROM part WHERE p_size > 30), remote AS (SELECT p_partkey AS id, 0.9 * (1 - 0.015 * (row_number() OVER (ORDER BY p_partkey) - 1)) AS s FROM (SELECT p_partkey FROM part WHERE p_brand = 'Brand#5' ORDER BY p_partkey LIMIT 20)) SELECT id, round(max(s), 6) AS score FROM (SELECT * FROM local UNION ALL SELECT * FROM remote WHERE s >= 0.55) GROUP BY id")
@@ -377,10 +437,8 @@ def ablation_weights(spark, sf):
 @query(f"WITH {V}, {_MEAN}, d AS (SELECT vec_id, label, list_transform(list_zip(e, m), lambda p: p[1] - p[2]) AS d FROM v, m), s AS (SELECT d.vec_id, d.label, round({_DOT.format('d.d', 'q.d')} / sqrt({_DOT.format('d.d', 'd.d')} * {_DOT.format('q.d', 'q.d')}), 6) AS sim FROM d, d q WHERE q.vec_id = 5 AND d.vec_id <> 5), a AS (SELECT vec_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS k FROM s), b AS (SELECT vec_id, row_number() OVER (ORDER BY sim DESC, vec_id) - 1 AS k FROM s WHERE label = (SELECT label FROM v WHERE vec_id = 5)), u AS (SELECT 'content' AS src, vec_id, 1.0 / (20 + k) AS x FROM a WHERE k < 60 UNION ALL SELECT 'collaborative', vec_id, 0.6 / (20 + k) FROM b WHERE k < 60) SELECT vec_id, round(sum(x), 6) AS score, string_agg(src, '+' ORDER BY src) AS source FROM u GROUP BY vec_id ORDER BY score DESC, vec_id LIMIT 20")
 def similar_items(spark, sf):
     rows = _vectors(spark, sf)
-    mean = F.broadcast(centroids(rows, "e", []).withColumnRenamed("centroid", "m"))
-    mine = F.broadcast(rows.filter("vec_id = 5").select(F.col("e").alias("q"), F.col("label").alias("own")))
-    less = lambda x: F.zip_with(x, "m", lambda a, b: a - b)
-    scored = rows.filter("vec_id <> 5").crossJoin(mine).crossJoin(mean).withColumn("sim", F.round(dot(unit(less(F.col("e"))), unit(less(F.col("q")))), 6))
+    mine = rows.filter("vec_id = 5").select(F.col("e").alias("q"), F.col("label").alias("own"))
+    scored = _centred(rows.filter("vec_id <> 5").crossJoin(F.broadcast(mine)), centroids(rows, "e", [])).select("vec_id", "label", "own", "sim")
     lists = [(top_k(scored, 60, [F.col("sim").desc(), F.col("vec_id")]), 1.0, "content"), (top_k(scored.filter("label = own"), 60, [F.col("sim").desc(), F.col("vec_id")]), 0.6, "collaborative")]
     parts = [df.select("vec_id", F.lit(name).alias("src"), (F.lit(w) / (19 + F.col("rank"))).alias("x")) for df, w, name in lists]
     fused = parts[0].unionByName(parts[1]).groupBy("vec_id").agg(F.round(F.sum("x"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("source"))

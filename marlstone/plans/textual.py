@@ -20,6 +20,11 @@ def _stopped(word):
     return word.isin(*STOP)
 
 
+def content_words(text):
+    """Words of over two characters, without accents and stop words."""
+    return F.filter(F.regexp_extract_all(T.strip_accents(F.lower(text)), F.lit("[^ \\t\\n]+"), 0), lambda w: (F.length(w) > 2) & ~_stopped(w))
+
+
 @query("SELECT doc_id, md5(strip_accents(lower(text))) AS plain FROM documents")
 def strip_accents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.strip_accents(F.lower("text"))).alias("plain"))
@@ -27,16 +32,16 @@ def strip_accents(spark, sf):
 
 @query(rf"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[^ \t\n]+'), lambda w: len(w) > 2 AND NOT list_contains({_STOP}, w)) AS t FROM documents)")
 def content_tokens(spark, sf):
-    words = F.filter(F.regexp_extract_all(F.col("plain"), F.lit("[^ \\t\\n]+"), 0), lambda w: (F.length(w) > 2) & ~_stopped(w))
-    plain = table(spark, sf, "documents").select("doc_id", T.strip_accents(F.lower("text")).alias("plain"))
-    return plain.select("doc_id", words.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", content_words(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query(rf"""WITH w AS (SELECT item_id, regexp_extract_all(trim(text), '[^ ]+') AS t FROM benchmark), f AS (SELECT item_id, t, coalesce(list_position(list_transform(t[1:len(t) - 1], lambda x: list_contains({_STOP}, lower(trim(x, '?!.,;:')))), false), len(t)) AS k FROM w)
+@query(rf"""WITH w AS (SELECT item_id, regexp_extract_all(trim(text), '[^ ]+') AS t FROM benchmark), f AS (SELECT item_id, t, coalesce(list_position(list_transform(t[1:len(t) - 1], lambda x: list_contains({_STOP}, strip_accents(lower(trim(x, '?!.,;:'))))), false), len(t)) AS k FROM w)
     SELECT item_id, trim(array_to_string(t[k:], ' '), ' ?!.,;:') AS cleaned FROM f""")
 def clean_query(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.trim("text"), F.lit("[^ ]+"), 0).alias("t"))
-    lead = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x: _stopped(F.lower(F.btrim(x, F.lit("?!.,;:")))))
+    split = lambda text: F.regexp_extract_all(F.trim(text), F.lit("[^ ]+"), 0)
+    # accents go from the text as a whole, which leaves its words where they are
+    words = table(spark, sf, "benchmark").select("item_id", split("text").alias("t"), split(T.strip_accents(F.lower("text"))).alias("plain"))
+    lead = F.transform(F.slice("plain", 1, F.size("t") - 1), lambda x: _stopped(F.btrim(x, F.lit("?!.,;:"))))
     first = F.array_position(lead, F.lit(False))
     begin = F.when(first == 0, F.size("t")).otherwise(first).cast("int")
     return words.select("item_id", F.btrim(F.array_join(F.slice("t", begin, F.size("t")), " "), F.lit(" ?!.,;:")).alias("cleaned"))
@@ -66,18 +71,24 @@ def truncate_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(F.length("text") <= 80, F.col("text")).otherwise(F.concat(cut, F.lit("…"))).alias("short"))
 
 
-_LABELS = "('Dominic Toretto (voice)'), ('Guard #2'), ('Himself'), ('Bruce / Batman'), ('Old Man (uncredited)'), (NULL), ('  Neo  '), ('" + "x" * 80 + "')"
+_LABELS = ("Mara Quill (voice)", "Clerk #2", "Sailor # 14", "Herself", "Ann / The Owl", "Tall Man (uncredited)", "Crowd member uncredited", None, "  Oda -", "· Ilse /", "Them #selves", "x" * 80)
+_NO_NAMES = ("himself", "herself", "themselves", "self", "him", "her")
 
 
-@query(rf"""WITH raw AS (SELECT p_partkey AS id, p_name || CASE WHEN p_size % 3 = 0 THEN ' (voice)' WHEN p_size % 3 = 1 THEN ' #2' ELSE '' END AS label FROM part UNION ALL SELECT -1, label FROM (VALUES {_LABELS}) v(label))
-    , c AS (SELECT id, label, trim(regexp_replace(label, '\s*\([^)]*\)\s*$', '')) AS t FROM raw) SELECT label, count(*) AS n, min(CASE WHEN len(t) <= 60 AND t <> '' AND lower(t) NOT IN ('himself', 'herself', 'self') AND NOT contains(lower(label), 'uncredited') AND NOT regexp_matches(t, '#\d+') THEN t END) AS cleaned FROM c GROUP BY label""")
+@query(rf"""WITH raw AS (SELECT p_name || CASE WHEN p_size % 3 = 0 THEN ' (voice)' WHEN p_size % 3 = 1 THEN ' # 2' ELSE ' (uncredited)' END AS label FROM part UNION ALL SELECT label FROM (VALUES {', '.join('(NULL)' if x is None else f"('{x}')" for x in _LABELS)}) v(label))
+    , c AS (SELECT label, trim(regexp_replace(label, '\s*\([^)]*\)\s*$', ''), ' -/·') AS t FROM raw) SELECT label, count(*) AS n, min(CASE WHEN len(t) <= 60 AND t <> '' AND lower(t) NOT IN {_NO_NAMES} AND NOT contains(lower(t), 'uncredited') AND NOT regexp_matches(t, '#\s*\d+\s*$') THEN t END) AS cleaned FROM c GROUP BY label""")
 def clean_label(spark, sf):
     size = F.col("p_size") % 3
-    made = table(spark, sf, "part").select(F.concat("p_name", F.when(size == 0, " (voice)").when(size == 1, " #2").otherwise("")).alias("label"))
-    fixed = spark.createDataFrame([(x,) for x in ("Dominic Toretto (voice)", "Guard #2", "Himself", "Bruce / Batman", "Old Man (uncredited)", None, "  Neo  ", "x" * 80)], "label string")
-    t = F.trim(F.regexp_replace("label", r"\s*\([^)]*\)\s*$", ""))
-    good = (F.length(t) <= 60) & (t != "") & ~F.lower(t).isin("himself", "herself", "self") & ~F.contains(F.lower("label"), F.lit("uncredited")) & ~t.rlike(r"#\d+")
-    return made.unionByName(fixed).groupBy("label").agg(F.count("*").alias("n"), F.min(F.when(good, t)).alias("cleaned"))
+    made = table(spark, sf, "part").select(F.concat("p_name", F.when(size == 0, " (voice)").when(size == 1, " # 2").otherwise(" (uncredited)")).alias("label"))
+    fixed = spark.createDataFrame([(x,) for x in _LABELS], "label string")
+    return made.unionByName(fixed).groupBy("label").agg(F.count("*").alias("n"), F.min(cleaned_label(F.col("label"))).alias("cleaned"))
+
+
+def cleaned_label(label):
+    """The name in a cast label: a last bracket and outer marks go; what is no name (numbered, uncredited, "himself", over 60 characters) is null."""
+    t = F.btrim(F.regexp_replace(label, r"\s*\([^)]*\)\s*$", ""), F.lit(" -/·"))
+    good = (F.length(t) <= 60) & (t != "") & ~F.lower(t).isin(*_NO_NAMES) & ~F.contains(F.lower(t), F.lit("uncredited")) & ~t.rlike(r"#\s*\d+\s*$")
+    return F.when(good, t)
 
 
 @query(CP + "SELECT term, count(DISTINCT item_id) AS items FROM (SELECT item_id, unnest(string_split(lower(title), ' ')) AS term FROM catalog) WHERE len(term) >= 3 GROUP BY term")
@@ -108,6 +119,39 @@ def strip_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", plain_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
+#: Rewrites of wiki markup to prose, in order; templates are taken out from the inside, six deep.
+_WIKI = (
+    (r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""), (r"(?s)<!--.*?-->", ""), *[(r"\{\{[^{}]*\}\}", "")] * 6,
+    (r"(?i)\[\[(?:File|Image|Media):[^\]]*\]\]", ""), (r"\[\[[^\]|]+\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"),
+    ("\'{2,}", ""), (r"<[^>]+>", ""), (r"(?m)^=+\s*.*?\s*=+$", ""), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+)
+_WIKI_CHARS = 20_000
+
+
+def wiki_text(markup, limit: int = _WIKI_CHARS):
+    """The prose of wiki markup, cut at a word's end after ``limit`` characters."""
+    for pattern, by in _WIKI:
+        markup = F.regexp_replace(markup, pattern, by.replace("\\1", "$1"))
+    text = F.btrim(markup, F.lit(" \t\n"))
+    return F.when(F.length(text) > limit, F.regexp_replace(F.left(text, F.lit(limit)), r" [^ ]*\z", "")).otherwise(text)
+
+
+def _wiki_sql(column: str) -> str:
+    for pattern, by in _WIKI:
+        column = "regexp_replace(" + column + ", '" + pattern.replace("'", "''") + "', '" + by.replace("\n", "' || chr(10) || '") + "', 'g')"
+    return f"(SELECT CASE WHEN len(t) > {_WIKI_CHARS} THEN regexp_replace(left(t, {_WIKI_CHARS}), ' [^ ]*\\z', '') ELSE t END FROM (SELECT trim({column}, ' ' || chr(9) || chr(10)) AS t))"
+
+
+_MARKED_UP = "'== Plot ==' || chr(10) || '''''''' || left(text, 12) || '''''''' || ' met [[the fox]] and [[Old town|the town]] {{a|{{b|c}}}}.<ref name=r>p. 3</ref> <!-- no --> [[File:x.png|thumb|y]] See [https://example.org here].<br/>&nbsp;' || text"
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n, md5(t) AS digest FROM (SELECT doc_id, {_wiki_sql(_MARKED_UP)} AS t FROM documents)")
+def strip_wikitext(spark, sf):
+    """Documents with wiki markup put round them, as prose again."""
+    head = F.concat(F.lit("== Plot ==\n'\''"), F.left("text", F.lit(12)), F.lit("'\'' met [[the fox]] and [[Old town|the town]] {{a|{{b|c}}}}.<ref name=r>p. 3</ref> <!-- no --> [[File:x.png|thumb|y]] See [https://example.org here].<br/>&nbsp;"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", wiki_text(head).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n]+') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 330)) AS i FROM w)
     SELECT doc_id, (i // 330)::INT AS chunk, len(t[i + 1:i + 380])::INT AS n, md5(array_to_string(t[i + 1:i + 380], ' ')) AS digest FROM s""")
 def chunk_words(spark, sf):

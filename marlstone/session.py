@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +32,20 @@ def build_session(app: str = "marlstone", cpus: int | None = None, **conf: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in ``spark.checkpoint.dir``.
+
+    Only an in-process ``local[...]`` master may fall back to a folder of its own,
+    since there driver and executors are one machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
