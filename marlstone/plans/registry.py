@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from marlstone.plans import analytics, catalog, recommendation, retrieval, textual  # noqa: F401
+from marlstone.plans import analytics, catalog, evaluation, recommendation, retrieval, textual  # noqa: F401
 from marlstone.plans.base import QUERIES, SQL  # noqa: F401
