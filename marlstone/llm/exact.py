@@ -38,21 +38,22 @@ def _row_key(sha: Column, doc_id: Column) -> Column:
     return F.concat(sha, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")))
 
 
-def _mark(hashed: str) -> Column:
+def mark(hashed: str) -> Column:
+    """The bit of the sparse filter that a hash sets."""
     return F.col(hashed).bitwiseAND(F.lit((1 << SPARSE_BITS) - 1))
 
 
 def repeated_marks(keys: DataFrame, hashed: str) -> DataFrame:
     """(mark): bits of the sparse filter that two or more rows set. Copies within a partition are counted before the exchange."""
-    marks = keys.select(_mark(hashed).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+    marks = keys.select(mark(hashed).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
     return saved(marks.filter("n > 1").select("mark"), "marks")
 
 
-def _places(mark: Column, blocks: int) -> tuple[Column, Column]:
+def _places(bit: Column, blocks: int) -> tuple[Column, Column]:
     """The block of a mark in the dense filter, and the places of its bits there."""
-    spread = F.xxhash64(mark)
+    spread = F.xxhash64(bit)
     places = F.array(*[F.shiftrightunsigned(spread, 16 * j).bitwiseAND(F.lit(_BLOCK - 1)) for j in range(HASHES)])
-    return F.coalesce(F.pmod(F.xxhash64(mark, F.lit(1)), F.lit(blocks)), F.lit(0)), places
+    return F.coalesce(F.pmod(F.xxhash64(bit, F.lit(1)), F.lit(blocks)), F.lit(0)), places
 
 
 def dense_filter(marks: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
@@ -66,7 +67,7 @@ def dense_filter(marks: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame,
 
 def flag_maybe(rows: DataFrame, hashed: str, dense: DataFrame, blocks: int) -> DataFrame:
     """``rows`` with ``__ms_maybe``: all bits of the row's hash are in the filter. No row is moved."""
-    block, places = _places(_mark(hashed), blocks)
+    block, places = _places(mark(hashed), blocks)
     rows = rows.withColumn("__ms_block", block).withColumn("__ms_places", places).join(F.broadcast(dense), "__ms_block", "left")
     # byte place / 8 of the bitmap, and of that the bit place % 8
     hit = "(shiftright(cast(conv(hex(substring(__ms_bits, cast(__ms_places[{0}] div 8 as int) + 1, 1)), 16, 10) as int), cast(__ms_places[{0}] % 8 as int)) & 1) = 1"

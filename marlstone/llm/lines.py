@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
+from marlstone.llm.exact import dense_filter, flag_maybe, mark
 from marlstone.llm.graph import lookup
 from marlstone.llm.store import saved
 
@@ -123,9 +124,15 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFra
     other; a null id counts as larger than all others; a null text stays null.
     An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(int(_NO_ID))), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).withColumn("__ms_key", key)
     starts = repeated_windows(docs, gram, span).groupBy("doc", "th").agg(F.collect_set("at").alias("starts"))
-    rows = rows.join(saved(starts, "runs"), (F.coalesce(F.col("doc_id"), F.lit(int(_NO_ID))) == F.col("doc")) & (F.xxhash64("text") == F.col("th")), "left").select("doc_id", "text", "starts")
+    starts = saved(starts.withColumn("__ms_mark", F.xxhash64("doc", "th")), "runs")
+    # only texts that lose lines meet their starts; the broadcast filter lets the others stay where they are
+    flagged = flag_maybe(rows, "__ms_key", *dense_filter(starts.select(mark("__ms_mark").alias("mark"))))
+    same = (F.coalesce(F.col("doc_id"), F.lit(int(_NO_ID))) == F.col("doc")) & (F.xxhash64("text") == F.col("th")) & (F.col("__ms_key") == F.col("__ms_mark"))
+    cut = flagged.filter("__ms_maybe").join(starts.hint("merge"), same, "left").select("doc_id", "text", "starts")
+    rows = flagged.filter("not __ms_maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")).unionByName(cut)
     return rows.mapInArrow(lambda it: _cut(it, gram + span - 1), "doc_id bigint, text string, n_lines bigint, n_removed bigint")
 
 
