@@ -33,6 +33,7 @@ _POINTS = (0x14C5A9B7D3E8F261, 0x0B7E151628AED2A7)
 _P, _S61, _S32, _S29 = np.uint64(PRIME), np.uint64(61), np.uint64(32), np.uint64(29)
 _M32, _M29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+_TABLE_STEP = 1 << 18
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
@@ -57,9 +58,9 @@ def _power_table(n: int, point: int, inverse: bool) -> np.ndarray:
     key = (point, inverse)
     if key not in _powers or len(_powers[key]) < n:
         base = pow(_POINTS[point], -1, PRIME) if inverse else _POINTS[point]
-        out, size = np.ones(1, dtype=np.uint64), max(1 << 16, 1 << (n - 1).bit_length())
+        out, size = np.ones(1, dtype=np.uint64), -(-n // _TABLE_STEP) * _TABLE_STEP
         while len(out) < size:
-            out = np.concatenate([out, _product(out, np.uint64(pow(base, len(out), PRIME)))])
+            out = np.concatenate([out, _product(out[: size - len(out)], np.uint64(pow(base, len(out), PRIME)))])
         _powers[key] = out
     return _powers[key]
 
