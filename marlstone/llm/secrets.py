@@ -16,8 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import product
-from re import _constants as op
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokens
+from marlstone.llm.regex_tree import op, parse
 
 #: Exact strings that are followed at once while a query is derived; beyond, the expression counts as unknown there.
 MOST_STRINGS = 64
@@ -169,7 +168,7 @@ def _derive(tree) -> Query:
 
 def trigram_query(pattern: str) -> Query:
     """A query that every text satisfies in which ``pattern`` matches, over lower-cased trigrams."""
-    return _derive(_parser.parse(pattern))
+    return _derive(parse(pattern))
 
 
 def _named(query: Query) -> set[str]:

@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Only an in-process ``local[...]`` master may fall back to a folder of its own,
-    since there driver and executors are one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="marlstone-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+_written: list[str] = []
 
 
 def saved(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The copy survives lost executors and ends the lineage; it stays until the
-    folder is cleared, like any checkpoint.
+    The copy survives lost executors and ends the lineage. It stays, as results
+    that were built on it may still be read, until ``clear`` or until the folder
+    is cleared like that of any checkpoint.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that this driver has saved, when no result built on them is needed any more; returns their number."""
+    jvm = spark.sparkContext._jvm
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

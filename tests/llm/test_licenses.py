@@ -3,6 +3,7 @@ import re
 import time
 
 from marlstone.llm import licenses
+from marlstone.llm.regex_tree import parse
 
 SCHEMA = "doc_id bigint, text string, labels string, c string"
 
@@ -57,7 +58,7 @@ def test_empty(spark):
 def matches(pattern, pick):
     """A text that ``pattern`` matches, with each branch and repeat chosen by ``pick``."""
     out = []
-    for op, arg in re._parser.parse(pattern) if isinstance(pattern, str) else pattern:
+    for op, arg in parse(pattern) if isinstance(pattern, str) else pattern:
         kind = str(op)
         if kind == "LITERAL":
             out.append(chr(arg))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from marlstone.llm import secrets
+from marlstone.llm.regex_tree import op, parse
 
 SCHEMA = "doc_id bigint, text string, spans string, found string"
 
@@ -67,3 +68,10 @@ def test_redaction_and_empty(spark):
     docs = spark.createDataFrame([(1, "é token=abcdef1 é", "x", "y"), (2, None, "x", "y"), (3, "none", "x", "y")], SCHEMA)
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()} == {1: "é [assign] é", 2: None, 3: "none"}
     assert secrets.annotate(docs.limit(0)).collect() == []
+
+
+def test_the_parser_names_its_nodes_as_expected():
+    """If Python's private parser changes, this fails before a rule loses its trigrams."""
+    kinds = [str(kind) for kind, _ in parse(r"ab[cd](?:e|f)(g)h{2,3}i*?.^")]
+    assert kinds == ["LITERAL", "LITERAL", "IN", "IN", "SUBPATTERN", "MAX_REPEAT", "MIN_REPEAT", "ANY", "AT"], kinds
+    assert [str(kind) for kind, _ in parse("(?:ab|cd)")] == ["BRANCH"] and op.BRANCH == parse("(?:ab|cd)")[0][0]
