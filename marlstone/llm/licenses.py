@@ -269,18 +269,18 @@ def rules() -> list[Rule]:
 RULES = rules()
 
 
-def gate_words(found: list[Rule]) -> list[str]:
-    """Words one of which every match holds: of each keyword "license" if it is there, else its longest word."""
-    split = [rule.keyword.split() for rule in found]
-    return sorted({"license" if "license" in words else max(words, key=len) for words in split})
+#: Words that stand in very many texts or keywords and so tell little.
+_COMMON = {"license", "licence", "licenses", "licensed", "public", "software", "general", "open", "source", "version", "copyright", "permission", "rights", "free", "common", "use", "from", "with", "without", "under"}
+
 
+def gate_word(rule: Rule) -> str:
+    """A word that every match of the rule holds: the longest of its keyword, a telling one if there is any."""
+    words = rule.keyword.split()
+    return max([w for w in words if w not in _COMMON] or words, key=len)
 
-def _gate(words: list[str]) -> str:
-    """A pattern for any of the words as a whole one, branching by first letter."""
-    by_letter: dict[str, list[str]] = {}
-    for word in words:
-        by_letter.setdefault(word[0], []).append(word[1:])
-    return " (?:" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()) + ") "
+
+def gate_words(found: list[Rule]) -> list[str]:
+    return sorted({gate_word(rule) for rule in found})
 
 
 def _quoted(text: str) -> str:
@@ -298,15 +298,16 @@ def _spaces(of: str) -> str:
 
 
 def _matching_rules(found: list[Rule]) -> str:
-    """SQL for the numbers of the rules that match ``c``, each keyword looked for once."""
+    """SQL for the numbers of the rules that match ``c``: of the keywords whose gate word is ``present``, those that ``c`` holds have their rules tried."""
     by_keyword: dict[str, list[int]] = {}
     for i, rule in enumerate(found):
         by_keyword.setdefault(rule.keyword, []).append(i)
-    parts = []
+    keys = []
     for keyword, numbers in by_keyword.items():
-        tests = ", ".join(f"CASE WHEN c RLIKE {_quoted(found[i].pattern)} THEN {i} END" for i in numbers)
-        parts.append(f"CASE WHEN contains(c, {_quoted(' ' + keyword.replace(' ', '  ') + ' ')}) THEN array({tests}) ELSE CAST(array() AS array<int>) END")
-    return f"filter(flatten(array({', '.join(parts)})), i -> i IS NOT NULL)"
+        rules_of = ", ".join(f"named_struct('i', {i}, 'p', {_quoted(found[i].pattern)})" for i in numbers)
+        keys.append(f"named_struct('g', {_quoted(gate_word(found[numbers[0]]))}, 'k', {_quoted(' ' + keyword.replace(' ', '  ') + ' ')}, 'rules', array({rules_of}))")
+    tried = f"filter(array({', '.join(keys)}), x -> array_contains(present, x.g) AND contains(c, x.k))"
+    return f"transform(filter(flatten(transform({tried}, x -> x.rules)), r -> c RLIKE r.p), r -> r.i)"
 
 
 def annotate(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
@@ -330,12 +331,13 @@ def annotate(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
         first = f"CAST({_spaces(before)} / 2 AS bigint)"
         last = f"CAST({_spaces('c')} / 2 - {_spaces(after)} / 2 - {phrase.count(' ') + 1} AS bigint)"
         places.append(f"CASE WHEN contains(c, {wide}) THEN named_struct('n', {n}, 'first', {first}, 'last', {last}, 'label', {_quoted(BASE[phrase])}) END")
-    gate = f"c RLIKE {_quoted(_gate(gate_words(found)))}"
+    gates = f"array({', '.join(_quoted(w) for w in gate_words(found))})"
+    rows = rows.withColumn("present", F.expr(f"array_intersect(split(trim(c), '  '), {gates})"))
     rows = rows.select(
         "doc_id", "c",
         F.expr(f"CAST({_spaces('c')} / 2 AS bigint)").alias("n_words"),
         F.expr(f"filter(array({', '.join(places)}), p -> p IS NOT NULL)").alias("base"),
-        F.expr(f"CASE WHEN {gate} THEN {_matching_rules(found)} ELSE CAST(array() AS array<int>) END").alias("ids"),
+        F.expr(f"CASE WHEN size(present) > 0 THEN {_matching_rules(found)} ELSE CAST(array() AS array<int>) END").alias("ids"),
     )
     pick = lambda values, kind: f"element_at(CAST(array({', '.join(values)}) AS array<{kind}>), i + 1)"
     pattern = pick([_quoted(r.pattern) for r in found], "string")
