@@ -113,9 +113,9 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(masks: list[int], at: str, key: str):
-    """An array of (table, masked fingerprint)."""
-    return F.array(*[F.struct(F.lit(t).alias(at), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias(key)) for t, m in enumerate(masks)])
+def _keyed(masks: list[int], at: str, key: str) -> str:
+    """SQL for an array of (table, masked fingerprint); as one string, since a column a mask takes the driver seconds to put together."""
+    return f"array({', '.join(f"named_struct('{at}', {t}, '{key}', fp & {_signed(m)}L)" for t, m in enumerate(masks))})"
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -129,7 +129,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     yields more links than members.
     """
     masks = covering_masks(list(range(64)), radius)
-    rows = fps.select("rep", "fp", F.explode(_keyed(masks, "t", "key")).alias("k")).select("rep", "fp", "k.t", "k.key")
+    rows = fps.select("rep", "fp", F.explode(F.expr(_keyed(masks, "t", "key"))).alias("k")).select("rep", "fp", "k.t", "k.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("members_n")).filter("members_n > 1")
     shared = saved(rows.join(sizes, ["t", "key"]), "buckets")
     member = F.collect_list(F.struct("fp", "rep")).alias("members")
@@ -137,7 +137,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     links = link(shared.filter(F.col("members_n") <= bucket).groupBy("t", "key").agg(member))
     large = shared.filter(F.col("members_n") > bucket)
     free = [[p for p in range(64) if not mask >> p & 1] for mask in masks]
-    second = F.element_at(F.array(*[_keyed(covering_masks(positions, radius), "t2", "key2") for positions in free]), F.col("t") + 1)
+    second = F.expr(f"element_at(array({', '.join(_keyed(covering_masks(positions, radius), 't2', 'key2') for positions in free)}), t + 1)")
     dealt = large.select("rep", "fp", "t", "key", F.explode(second).alias("k")).select("rep", "fp", "t", "key", "k.t2", "k.key2")
     return links.unionByName(link(dealt.groupBy("t", "key", "t2", "key2").agg(member)))
 
