@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def without_accents(text: str) -> str:
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
 def _plain(texts: pd.Series) -> pd.Series:
-    strip = lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-    return texts.map(strip, na_action="ignore")
+    return texts.map(without_accents, na_action="ignore")
 
 
 def strip_accents(text: Column | str) -> Column:

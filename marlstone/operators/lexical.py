@@ -3,28 +3,40 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import strip_accents, tokens
+from marlstone.functions.text import without_accents
 
 K1, B = 1.5, 0.75
 #: Distinct terms up to which a search names them to the scan of a stored index, whose files are in order of terms.
 PUSHED_TERMS = 500
 
 
+_WORD = re.compile(r"\w{2,}")
+
+
 @dataclass(frozen=True)
 class Analyser:
-    """Words of a text, the same for documents and queries: lower-cased, without accents if ``fold``, without ``stop`` words."""
+    """Words of a text, the same for documents and queries: runs of two or more letters, digits and underscores, lower-cased,
+    without accents if ``fold``, without ``stop`` words. A null text has none."""
 
     stop: tuple[str, ...] = ()
     fold: bool = False
 
+    def split(self, text: str | None) -> list[str]:
+        text = (text or "").lower()
+        found = _WORD.findall(without_accents(text) if self.fold else text)
+        return [w for w in found if w not in self.stop] if self.stop else found
+
     def words(self, text: Column) -> Column:
-        found = tokens(strip_accents(F.lower(text)) if self.fold else text)
-        return F.filter(found, lambda w: ~w.isin(*self.stop)) if self.stop else found
+        return F.pandas_udf(lambda texts: texts.map(self.split), "array<string>")(text)
 
 
 @dataclass(frozen=True)
@@ -34,17 +46,20 @@ class Index:
     terms: DataFrame  # term, df, idf
     totals: DataFrame  # one row: n, avgdl
     analyser: Analyser = Analyser()
-    stored: bool = False
+    analysed: DataFrame | None = None  # what the others derive from; None for a stored index
 
     def save(self, path: str, files: int = 8) -> None:
         """Writes the index. Postings carry the share of the score that they give (the weight) and lie in order of terms, so that a
-        search reads the row groups of the asked terms only. ``files`` is the number of ranges of terms."""
-        totals = self.totals.crossJoin(self.postings.agg(F.count("*").alias("postings")))
-        totals.withColumn("analyser", F.lit(json.dumps([self.analyser.stop, self.analyser.fold]))).write.mode("overwrite").parquet(f"{path}/totals")
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        heavy = _weights(self.postings.join(self.terms, "term"), self.totals)
-        heavy = heavy.select("term", "key", "tf", "dl", "weight").repartitionByRange(files, "term", "key").sortWithinPartitions("term", "key")
+        search reads the row groups of the asked terms only. ``files`` is the number of ranges of terms. Texts are analysed once:
+        what they give is written first, and all else is derived from it."""
+        spark = self.analysed.sparkSession
+        self.analysed.write.mode("overwrite").parquet(f"{path}/analysed")
+        index = _index(spark.read.schema(self.analysed.schema).parquet(f"{path}/analysed"), self.analyser)
+        index.totals.withColumn("analyser", F.lit(json.dumps([self.analyser.stop, self.analyser.fold]))).write.mode("overwrite").parquet(f"{path}/totals")
+        index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        heavy = _weights(index.postings.join(spark.read.parquet(f"{path}/terms"), "term"), spark.read.parquet(f"{path}/totals")).select("term", "key", "tf", "dl", "weight")
+        heavy = heavy.repartitionByRange(files, "term", "key").sortWithinPartitions("term", "key")
         heavy.write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
 
 
@@ -52,7 +67,7 @@ def load(spark: SparkSession, path: str) -> Index:
     """An index that ``save`` wrote."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     stop, fold = json.loads(read("totals").first()["analyser"])
-    return Index(read("postings"), read("documents"), read("terms"), read("totals").select("n", "avgdl"), Analyser(tuple(stop), fold), True)
+    return Index(read("postings"), read("documents"), read("terms"), read("totals").select("n", "avgdl"), Analyser(tuple(stop), fold))
 
 
 def _length_norm() -> Column:
@@ -73,18 +88,36 @@ def _with_idf(postings: DataFrame, totals: DataFrame) -> DataFrame:
 def build(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), fold: bool = False) -> Index:
     """``key`` is unique. Documents without terms count in N but not in the mean length.
 
-    A posting carries its document's length, so scoring joins no lengths.
+    Texts are analysed and their terms counted on Arrow batches, document by
+    document, so postings need no exchange; a posting carries its document's
+    length, so scoring joins no lengths.
     """
     analyser = Analyser(stop, fold)
-    rows = docs.select(F.col(key).alias("key"), analyser.words(F.col(text)).alias("words"))
-    sized = rows.select("key", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).cast("bigint").alias("dl"), "words")
-    # outer, as a plain explode makes the planner test each text's words for emptiness, which finds them twice more
-    exploded = sized.select("key", "dl", F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
-    postings = exploded.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
-    lengths = sized.select("key", "dl")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lengths, terms, counts = [], [], [], []
+            for i, body in enumerate(batch.column("text").to_pylist()):
+                words = analyser.split(body)
+                found = Counter(words)
+                at += [i] * (len(found) + 1)
+                lengths += [len(words)] * (len(found) + 1)
+                terms += [None, *found]
+                counts += [0, *found.values()]
+            keys = batch.column("key").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["key", "dl", "term", "tf"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return _index(rows.mapInArrow(counted, f"key {kind}, dl bigint, term string, tf bigint"), analyser)
+
+
+def _index(analysed: DataFrame, analyser: Analyser) -> Index:
+    """``analysed`` has a row for each document and term, and one without a term for each document."""
+    postings, lengths = analysed.filter("term IS NOT NULL"), analysed.filter("term IS NULL").select("key", "dl")
     totals = lengths.agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     documents = lengths.filter("dl > 0").crossJoin(F.broadcast(totals.select("avgdl"))).select("key", "dl", _length_norm().alias("k"))
-    return Index(postings, documents, _with_idf(postings, totals), totals, analyser)
+    return Index(postings, documents, _with_idf(postings, totals), totals, analyser, analysed)
 
 
 def asked_terms(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -101,7 +134,7 @@ def search(index: Index, queries: DataFrame, qid: str, text: str) -> DataFrame:
     to its scan.
     """
     asked = asked_terms(index, queries, qid, text)
-    if index.stored:
+    if index.analysed is None:
         some = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
         postings = index.postings.filter(F.col("term").isin(some)) if len(some) <= PUSHED_TERMS else index.postings
         return postings.join(asked, "term").groupBy(qid, "key").agg(F.sum("weight").alias("lexical"))

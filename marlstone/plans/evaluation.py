@@ -9,7 +9,7 @@ from marlstone.functions.vector import dot
 from marlstone.operators import evaluation, lexical
 from marlstone.operators.relational import top_k
 from marlstone.plans.base import CATALOG, CREDITS, RATINGS, catalog, credits, query, ratings, table
-from marlstone.plans.retrieval import _DOT, _RANKS, V, _index, _ranks, _vectors
+from marlstone.plans.retrieval import _DOT, _RANKS, V, _index, _ranks, _vectors, held_by
 from marlstone.plans.textual import name_match
 
 C = f"WITH {CATALOG} "
@@ -23,12 +23,6 @@ def harness_metrics(spark, sf):
     return evaluation.rank_metrics(_ranks(spark, sf))
 
 
-def _relevant(spark, sf):
-    """(qid, key): the documents that hold an item's whole text."""
-    items = F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("wanted")))
-    return table(spark, sf, "documents").join(items, F.contains("text", "wanted")).select("qid", F.col("doc_id").alias("key")).distinct()
-
-
 @query(f"""WITH {_RANKS}, cover AS (SELECT item_id, key, count(*) AS s FROM asked JOIN tf USING (term) GROUP BY ALL), order2 AS (SELECT item_id, key, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, key) AS rank FROM cover),
     best2 AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN hits USING (item_id) LEFT JOIN order2 o ON o.item_id = b.item_id AND o.key = hits.doc_id GROUP BY b.item_id)
     SELECT 'bm25' AS pipeline, {_METRICS} FROM best UNION ALL SELECT 'cover', {_METRICS} FROM best2""")
@@ -44,7 +38,8 @@ def evaluation_run(spark, sf):
         terms = lexical.asked_terms(index, asked, "qid", "query")
         return index.postings.join(terms, "term").groupBy("qid", "key").agg(F.count("*").alias("score"))
 
-    runs = [evaluation.target_ranks(queries, _relevant(spark, sf), fn).withColumn("pipeline", F.lit(name)) for name, fn in (("bm25", bm25), ("cover", cover))]
+    relevant = held_by(spark, sf).withColumnRenamed("item_id", "qid")
+    runs = [evaluation.target_ranks(queries, relevant, fn).withColumn("pipeline", F.lit(name)) for name, fn in (("bm25", bm25), ("cover", cover))]
     return evaluation.rank_metrics(runs[0].unionByName(runs[1]), ["pipeline"])
 
 

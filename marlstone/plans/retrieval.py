@@ -105,22 +105,23 @@ BM = f"""tok AS (SELECT doc_id AS key, unnest({ANALYSED}) AS term FROM documents
     bm AS (SELECT item_id, key, sum(idf * tf * 2.5 / (tf + k)) AS lexical FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN k USING (key) GROUP BY ALL)"""
 
 
-def _index(spark, sf):
+def _built_index(spark, sf):
     return lexical.build(table(spark, sf, "documents"), "doc_id", "text", STOP, fold=True)
 
 
-def _stored_index(spark, sf):
-    return lexical.load(spark, stored(spark, sf, "bm25", lambda path: _index(spark, sf).save(path)))
+def _index(spark, sf):
+    """The stored index of the documents, which the first call of an application writes."""
+    return lexical.load(spark, stored(spark, sf, "bm25", lambda path: _built_index(spark, sf).save(path)))
 
 
 @query(f"WITH {BM} SELECT key AS doc_id, term, tf FROM tf")
 def bm25_postings(spark, sf):
-    return _index(spark, sf).postings.select(F.col("key").alias("doc_id"), "term", "tf")
+    return _built_index(spark, sf).postings.select(F.col("key").alias("doc_id"), "term", "tf")
 
 
 @query(f"WITH {BM} SELECT 'doc' AS kind, key::VARCHAR AS name, dl AS n, round(k, 6) AS value FROM k UNION ALL SELECT 'term', term, df, round(idf, 6) FROM idf")
 def bm25_stats(spark, sf):
-    index = _index(spark, sf)
+    index = _built_index(spark, sf)
     docs = index.documents.select(F.lit("doc").alias("kind"), F.col("key").cast("string").alias("name"), F.col("dl").alias("n"), F.round("k", 6).alias("value"))
     return docs.unionByName(index.terms.select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"), F.round("idf", 6).alias("value")))
 
@@ -132,9 +133,9 @@ def bm25_topk(spark, sf):
 
 
 @query(f"WITH {BM} SELECT item_id, key AS doc_id, score, rank FROM (SELECT item_id, key, round(lexical, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, key) AS rank FROM bm) WHERE rank <= 10")
-def bm25_stored(spark, sf):
-    """``bm25_topk`` from the stored index, which the first call writes."""
-    scored = lexical.search(_stored_index(spark, sf), table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("lexical", 6))
+def bm25_built(spark, sf):
+    """``bm25_topk`` with an index that is built within the query."""
+    scored = lexical.search(_built_index(spark, sf), table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("lexical", 6))
     return top_k(scored, 10, [F.col("score").desc(), F.col("key")], ["item_id"]).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
 
 
@@ -369,10 +370,9 @@ def explain_signals(spark, sf):
 
 @query(f"WITH {V}, p AS (SELECT d.vec_id AS doc_id, t.vec_id AS term, round({_DOT.format('d.e', 't.e')}, 6) AS sim FROM v d, v t WHERE t.label = 0 AND t.vec_id <> d.vec_id) SELECT doc_id, term, sim FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, term) AS k FROM p WHERE sim >= 0.30) WHERE k <= 4")
 def matched_keywords(spark, sf):
-    rows = _vectors(spark, sf)
-    terms = F.broadcast(rows.filter("label = 0").select(F.col("vec_id").alias("term"), F.col("e").alias("t")))
-    near = rows.crossJoin(terms).filter("term <> vec_id").select(F.col("vec_id").alias("doc_id"), "term", F.round(dot(F.col("e"), F.col("t")), 6).alias("sim")).filter("sim >= 0.30")
-    return top_k(near, 4, [F.col("sim").desc(), F.col("term")], ["doc_id"]).select("doc_id", "term", "sim")
+    rows = _vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("e").alias("v"), "label")
+    near = vectors.best_products(rows.withColumn("skip", F.array("id")), rows.filter("label = 0").withColumn("bias", F.lit(0.0)), 4)
+    return near.filter("score >= 0.30").select(F.col("id").alias("doc_id"), F.col("other").alias("term"), F.col("score").alias("sim"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = 'en' THEN 'in English' END, CASE WHEN n_chars > 2000 THEN 'long read' END, CASE WHEN source IN ('src1', 'src2') THEN 'from ' || source END], lambda x: x IS NOT NULL)[1:2], '; ') AS reasons FROM documents")
@@ -385,13 +385,28 @@ def why_reasons(spark, sf):
 _RANKS = f"{BM}, order_of AS (SELECT item_id, key, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, key) AS rank FROM bm), hits AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), best AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN hits USING (item_id) LEFT JOIN order_of o ON o.item_id = b.item_id AND o.key = hits.doc_id GROUP BY b.item_id)"
 
 
+def held_by(spark, sf):
+    """(item_id, key): the documents that hold an item's whole text.
+
+    An item's inner words stand between others of its own, so they are words of
+    every document that holds it: the postings of its rarest one are the
+    candidates. Only items of fewer than three words meet all documents.
+    """
+    index, texts = _index(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    plain = lexical.Analyser((), index.analyser.fold).words(F.col("text"))
+    items = table(spark, sf, "benchmark").select("item_id", "text", plain.alias("w"))
+    items = items.withColumn("inner", F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda w: ~w.isin(*index.analyser.stop))).drop("w")
+    rarest = items.select("item_id", F.explode("inner").alias("term")).join(index.terms, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    candidates = index.postings.select("term", "key").join(rarest, "term").join(items.select("item_id", "text"), "item_id").join(texts, "key")
+    short = texts.join(items.filter(F.size("inner") == 0).select("item_id", "text"), F.contains("body", "text"))
+    return candidates.filter(F.contains("body", "text")).select("item_id", "key").unionByName(short.select("item_id", "key")).distinct()
+
+
 def _ranks(spark, sf):
     items = table(spark, sf, "benchmark")
     scored = lexical.search(_index(spark, sf), items, "item_id", "text").withColumn("s", F.round("lexical", 6))
     order = ranked(scored, [F.col("s").desc(), F.col("key")], ["item_id"])
-    # few documents hold an item's text, at whatever rank, so they are found before the ranks are joined
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
-    holds = texts.join(F.broadcast(items.select("item_id", "text")), F.contains("body", "text")).select("item_id", "key").distinct()
+    holds = held_by(spark, sf)  # few documents hold an item's text, at whatever rank, so they are found before the ranks are joined
     found = order.join(holds, ["item_id", "key"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     return items.select("item_id").join(found, "item_id", "left")
 

@@ -105,6 +105,21 @@ def test_modes(spark):
         plans.search(spark, SF, "x", "other")
 
 
+def test_dispatched_modes_and_encoded_documents(spark):
+    found = registry.QUERIES["search_dispatch"](spark, SF).collect()
+    for mode in plans.MODES:
+        mine = [(r["rank"], r["item_id"], r["score"]) for r in found if r["mode"] == mode]
+        asked = "small red gear" if mode != "person" else "Supplier#00000012"
+        direct = plans.search(spark, SF, asked, mode, filters={"year_min": 1960}).collect()
+        assert sorted(mine) == sorted((r["rank"], r["item_id"], r["score"]) for r in direct) and [r for r, *_ in sorted(mine)] == list(range(1, len(mine) + 1))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = {r["doc_id"]: (r["head"], r["length"]) for r in registry.QUERIES["encode_documents"](spark, SF).collect()}
+    assert out.keys() == texts.keys()
+    for d, t in texts.items():
+        v = hashed_words(64)([t])[0]
+        assert out[d] == (round(v[0], 6) + 0.0, round(float(v @ v), 6))
+
+
 def test_encoder_is_loaded_once_a_task(spark):
     rows = spark.createDataFrame([(i, f"word{i} and more" if i % 3 else None) for i in range(90)], "id int, t string").repartition(2)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")

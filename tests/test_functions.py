@@ -95,6 +95,8 @@ def test_fold_in_solves_the_ridge(spark):
 
 
 def test_interleave_and_diversify():
-    assert recommend.interleave([[1, 2, 3], [1, 9]], [2.0, 1.0], 4) == [(1, 0), (2, 0), (3, 0), (9, 1)] or [i for i, _ in recommend.interleave([[1, 2, 3], [1, 9]], [2.0, 1.0], 4)][0] == 1
+    # (taken + 1) / weight: 1/2 and 1, so the first list; then 1 and 1, so the first again; then 3/2 and 1, so the second, whose 1 is taken, and its 9
+    assert recommend.interleave([[1, 2, 3], [1, 9]], [2.0, 1.0], 4) == [(1, 0), (2, 0), (9, 1), (3, 0)]
+    assert recommend.interleave([[], [5]], [1.0, 1.0], 3) == [(5, 1)]
     v = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     assert recommend.diversify([7, 8, 9], np.array([0.9, 0.89, 0.7]), v, 3) == [7, 9, 8]
