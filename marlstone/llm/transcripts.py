@@ -62,16 +62,18 @@ def observed(text: Column) -> Column:
     """The class that each line of a piece emits, from 0 to CLASSES - 1."""
     lines = lines_of(text)
 
-    def of_line(line: Column, at: Column) -> Column:
+    def of_line(line: Column, before: Column) -> Column:
         name = F.lower(F.concat(F.regexp_extract(line, MARKER, 1), F.regexp_extract(line, MARKER, 2)))
         marker = F.lit(0)
         for k, role in enumerate(ROLES, 1):
             marker = F.when(name.isin(*MARKERS[role]), F.lit(k)).otherwise(marker)
         length = F.least(F.floor(F.log2(F.length(line) / 8 + 1)), F.lit(_N_LENGTH - 1))
-        asks, after_blank = F.rtrim(line).endswith("?").cast("int"), F.coalesce((F.trim(F.get(lines, at - 1)) == "").cast("int"), F.lit(0))
+        asks, after_blank = F.rtrim(line).endswith("?").cast("int"), (F.trim(before) == "").cast("int")
         return (((marker * _N_LENGTH + length) * 2 + asks) * 2 + after_blank).cast("smallint")
 
-    return F.transform(lines, of_line)
+    # each line next to the one before it: a lambda that looked into the lines would split the text again for every line
+    before = F.concat(F.array(F.lit("-")), F.slice(lines, 1, F.size(lines) - 1))
+    return F.zip_with(lines, before, of_line)
 
 
 def with_markers(turns: DataFrame, missing: int = 20) -> DataFrame:
