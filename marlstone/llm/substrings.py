@@ -36,6 +36,9 @@ WINDOW = 50
 ADDRESSES = 1
 ADDRESS_BYTES = 16 << 20
 
+#: Bytes of text worked on at once: twice the usual, as a run sends a message to each address.
+RUN_BYTES = 2 * tokens.RUN_BYTES
+
 _MESSAGE = "addr int, body binary"
 _LOW = np.uint64((1 << 31) - 1)
 _NO_ID = np.iinfo(np.int64).max
@@ -114,7 +117,7 @@ class Layout:
         if isinstance(ids, pa.ChunkedArray):
             ids = ids.combine_chunks()
         docs = ids.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-        for at, end, run in tokens.runs(texts, tokens.SPACED):
+        for at, end, run in tokens.runs(texts, tokens.SPACED, limit=RUN_BYTES):
             yield at, docs[at:end][run.text_of_word()], run, run.word_hashes()
 
     # pass 1

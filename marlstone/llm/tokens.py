@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _BYTE = np.arange(256)
 #: Words between ASCII white space: space and 0x09 to 0x0D.
