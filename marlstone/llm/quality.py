@@ -3,14 +3,16 @@
 Every preference pair is a document labelled good against one labelled bad. The
 chance that the first is preferred is the logistic function of the difference of
 their scores, a linear function of features of the text; the weights minimise
-the logistic loss on feature differences. The decision threshold is the quantile
-of the training scores at the share of bad labels, so as many training documents
-fall below it as are labelled bad.
+the logistic loss on feature differences over all such pairs. The pull of all
+pairs on a document depends on its score and the other label's scores only, so
+it is taken from their histogram, and a step costs one look at each document.
+The decision threshold is the quantile of the training scores at the share of
+bad labels, so as many training documents fall below it as are labelled bad.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import tokens
+from marlstone.llm.store import saved
 
-#: Labelled documents that are fitted at most: those whose ids hash lowest. Their features are about 10 MB.
+#: Labelled documents that are fitted in the driver; their features are about 10 MB. Of more, all are fitted where they lie,
+#: and this many only give the start and the first curvature of the steps.
 SAMPLE = 20_000
-#: Preference pairs that are drawn from them at most.
+#: Preference pairs that are written out; of more, so many give the start, and the steps that follow are those of all pairs.
 PAIRS = 100_000
+#: Labelled ids up to which they are broadcast to the texts; more meet the features by exchange.
+BROADCAST = 1 << 20
+#: The histogram of scores: bins of 1/16 from -64 to 64, each with its own mean.
+REACH, BINS = 64.0, 2048
 RIDGE = 1e-3
 NEWTON_STEPS = 25
 SEED = 7
@@ -106,14 +114,58 @@ class Model:
     centre: np.ndarray
     slope: np.ndarray
     threshold: float
+    curve: np.ndarray | None = None  # of the loss, by standardised features
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         margin = (x - self.centre) @ self.slope - self.threshold
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
+def _histogram(scores: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """(label, bin, number and sum of scores)."""
+    bins = np.clip((scores + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64) + BINS * good
+    return np.stack([np.bincount(bins, minlength=2 * BINS), np.bincount(bins, scores, 2 * BINS)], axis=1).reshape(2, BINS, 2)
+
+
+def _forces(histogram: np.ndarray) -> np.ndarray:
+    """(label, node): what all pairs of a document with this label and score pull it by; bad ones down, good ones up."""
+    nodes = np.linspace(-REACH, REACH, BINS + 1)[:, None]
+    n = histogram[0, :, 0].sum() * histogram[1, :, 0].sum()
+    out = []
+    for sign, other in ((1, 1), (-1, 0)):
+        count, total = histogram[other].T
+        some = count > 0
+        out.append((1 / (1 + np.exp(np.clip(sign * (total[some] / count[some] - nodes), -500, 500)))) @ count[some] * sign / n)
+    return np.stack(out)
+
+
+def _pulled(z: np.ndarray, scores: np.ndarray, good: np.ndarray, forces: np.ndarray) -> np.ndarray:
+    nodes = np.linspace(-REACH, REACH, BINS + 1)
+    return z.T @ np.where(good, np.interp(scores, nodes, forces[1]), np.interp(scores, nodes, forces[0]))
+
+
+def _descend(w: np.ndarray, curve: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int = 60) -> np.ndarray:
+    """Quasi-Newton steps from ``w``, with a first curvature, to where the gradient is zero."""
+    inverse, g = np.linalg.inv(curve), gradient(w)
+    for _ in range(steps):
+        step = -inverse @ g
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        w, last = w + step, g
+        if np.abs(step).max() < 1e-5:
+            break
+        g = gradient(w)
+        y = g - last
+        if (sy := step @ y) > 1e-14:
+            left = np.eye(len(w)) - np.outer(step, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(step, step) / sy
+    return w
+
+
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> Model:
-    """Newton's method on the logistic loss of (good - bad) differences; with one label only, every score is 0.5."""
+    """Newton's method on the logistic loss of (good - bad) differences; with one label only, every score is 0.5.
+
+    More than ``pairs`` pairs are not written out: a draw of them gives the start, and steps by the gradient of all pairs follow.
+    """
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(up) or not len(down):
         return Model(np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0)
@@ -135,9 +187,68 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    if n < len(up) * len(down):
+        w = _descend(w, hessian, lambda w: RIDGE * w + _pulled(z, z @ w, good, _forces(_histogram(z @ w, good))))
     ranked = z @ w
     threshold = float(np.quantile(ranked, len(down) / len(x), method="midpoint"))
-    return Model(centre, np.where(scale > 1e-9, w / np.maximum(scale, 1e-9), 0.0), threshold)
+    return Model(centre, np.where(scale > 1e-9, w / np.maximum(scale, 1e-9), 0.0), threshold, hessian)
+
+
+def _summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``part(x, good)`` over the batches of (x, good); one array a task goes to the driver."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                found = part(x, batch.column("good").to_numpy(zero_copy_only=False).astype(bool))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int64()))], names=["sums", "shape"])
+
+    got = rows.select("x", "good").mapInArrow(one, "sums binary, shape array<bigint>").collect()
+    parts = [np.frombuffer(r["sums"]).reshape(r["shape"]) for r in got]
+    return np.sum([parts[i] for i in sorted(range(len(parts)), key=lambda i: got[i]["sums"])], axis=0)  # whatever order they came in
+
+
+def fit_where_they_lie(rows: DataFrame, start: Model) -> Model:
+    """``fit`` of all (x, good), a table that the tasks read once for each sum; ``start`` is where the steps begin, and bears on nothing else."""
+    n_bad, n_good = _summed(rows, lambda x, good: np.array([(~good).sum(), good.sum()]))
+    if not n_bad or not n_good:
+        return Model(np.zeros(len(NAMES)), np.zeros(len(NAMES)), 0.0)
+    centre = _summed(rows, lambda x, good: x.sum(axis=0)) / (n_bad + n_good)
+    spread = _summed(rows, lambda x, good: (x - centre).T @ (x - centre)) / (n_bad + n_good)
+    scale = np.sqrt(np.diag(spread))
+    by = np.where(scale > 1e-9, 1 / np.maximum(scale, 1e-9), 0.0)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        slope = by * w
+        forces = _forces(_summed(rows, lambda x, good: _histogram((x - centre) @ slope, good)))
+        return RIDGE * w + by * _summed(rows, lambda x, good: _pulled(x - centre, (x - centre) @ slope, good, forces))
+
+    # without a start: a bound of the curvature
+    curve = spread * np.outer(by, by) / 2 + RIDGE * np.eye(len(by)) if start.curve is None else start.curve
+    slope = by * _descend(start.slope * scale, curve, gradient)
+    # the two scores that the quantile lies between
+    at = (n_bad + n_good - 1) * n_bad / (n_bad + n_good)
+    threshold = np.mean([_nth(rows, centre, slope, int(k)) for k in (np.floor(at), np.ceil(at))])
+    return Model(centre, slope, float(threshold))
+
+
+def _nth(rows: DataFrame, centre: np.ndarray, slope: np.ndarray, k: int, bins: int = 1 << 12, rounds: int = 5) -> float:
+    """The k-th smallest score, from 0: histograms of ever narrower ranges, the last some 1e-14 wide."""
+    low, width, before = -REACH * 16, REACH * 32, 0
+    for _ in range(rounds):
+
+        def counted(x: np.ndarray, good: np.ndarray, low: float = low, width: float = width) -> np.ndarray:
+            at = np.floor(((x - centre) @ slope - low) * (bins / width))
+            return np.bincount(np.clip(at, -1, bins).astype(np.int64) + 1, minlength=bins + 2)
+
+        up_to = np.cumsum(_summed(rows, counted))
+        bin_ = int(np.clip(np.searchsorted(up_to, k, side="right") - 1, 0, bins - 1))
+        low, width = low + bin_ * (width / bins), width / bins
+    return low + width / 2
 
 
 def fold() -> Column:
@@ -153,22 +264,28 @@ def _features_frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "good")), lists], names=["doc_id", "th", "good", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options: int) -> Model:
-    """Fits the labelled documents outside the held-out fold, at most ``sample`` of them, by lowest hash of their id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, broadcast: int = BROADCAST, **options: int) -> Model:
+    """Fits every labelled document outside the held-out fold: in the driver up to ``sample`` of them, else where they lie.
 
     Several labels of a document count as good if half of them are; null labels are left out. Of rows that repeat a
     labelled id, the one whose text hashes lowest is fitted.
     """
-    chosen = labels.filter(F.col("quality").isNotNull() & (fold() != 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "good", "text")
-    found = rows.mapInArrow(_features_frame, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, good boolean, x array<double>")
-    # one row an id, so that repeats bring no more than ``sample`` rows to the driver
-    found = found.groupBy("doc_id").agg(F.min(F.struct("th", "good", "x")).alias("one")).select("one.good", "one.x").toArrow()
-    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
-    good = found.column("good").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
+    chosen = saved(chosen, "labels")
+    kind, few = docs.schema["doc_id"].dataType.simpleString(), chosen.count() <= broadcast
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # texts are not exchanged: of many labels, the features of all rows are
+    rows = rows.join(F.broadcast(chosen), "doc_id") if few else rows.filter(fold() != 1).withColumn("good", F.lit(None).cast("boolean"))
+    found = rows.select("doc_id", "th", "good", "text").mapInArrow(_features_frame, f"doc_id {kind}, th bigint, good boolean, x array<double>")
+    found = found if few else found.drop("good").join(chosen, "doc_id")
+    found = saved(found.groupBy("doc_id").agg(F.min(F.struct("th", "good", "x")).alias("one")).select("doc_id", "one.good", "one.x"), "features")
+    many = found.count() > sample
+    some = (found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if many else found).select("good", "x").toArrow()
+    x = some.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    good = some.column("good").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((*x.T[::-1], good))  # the same fit whatever order the rows came in
-    return fit(x[order], good[order], **options)
+    model = fit(x[order], good[order], **options)
+    return fit_where_they_lie(found, model) if many else model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

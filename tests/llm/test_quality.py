@@ -107,3 +107,24 @@ def test_weights_minimise_the_pairwise_loss():
     assert np.allclose(fitted, w, atol=1e-3)
     ranked = z @ fitted
     assert abs(np.mean(ranked < model.threshold) - len(down) / len(x)) <= 1 / len(x)
+
+
+def test_all_labels_are_fitted_where_they_lie(spark):
+    """Few rows only start the steps: the result is that of the fit of all labels, by either way to the labels."""
+    rows, labels = fixture(300)
+    rng = random.Random(9)
+    docs, marks = frames(spark, rows, [(d, q if rng.random() < 0.8 else 1 - q, t) for d, q, t in labels])
+    whole = quality.train(docs, marks)
+    for options in ({"sample": 20}, {"sample": 20, "broadcast": 0}):
+        part = quality.train(docs.repartition(3), marks, **options)
+        at = np.random.default_rng(2).random((50, len(quality.NAMES))) * whole.centre
+        assert np.allclose(part.scores(at), whole.scores(at), atol=2e-2)
+        assert abs(part.threshold - whole.threshold) < 2e-2
+
+
+def test_the_gradient_is_that_of_all_pairs():
+    rng = np.random.default_rng(3)
+    x, good = rng.normal(size=(900, 4)), rng.random(900) < 0.6
+    x[:, 0] += good
+    written, drawn = quality.fit(x, good, pairs=10**6), quality.fit(x, good, pairs=500)
+    assert np.allclose(written.slope, drawn.slope, atol=1e-3) and abs(written.threshold - drawn.threshold) < 1e-2
