@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of shingle sets.
+"""Near copies by SimHash, checked by the Jaccard similarity of shingle sets.
 
-MinHash bands find candidates, as pairs at a similarity of 0.8 differ in about
-ten bits of SimHash: 24 bands of 5 values miss such a pair once in 13,000 times. What shares a bucket is compared by its whole sets, so no
-pair below the threshold is linked.
+Fingerprints that differ in at most three bits share a bucket of the covering
+tables of ``simhash``. Pairs at a similarity of 0.8 differ in about ten bits, so
+MinHash bands widen the candidates: 24 bands of 5 values miss such a pair once
+in 13,000 times. What shares a bucket of either kind is compared by its whole
+sets, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import tokens
+from marlstone.llm import simhash, tokens
 from marlstone.llm.graph import components, lookup
 from marlstone.llm.store import saved
 
@@ -52,6 +54,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
     at = np.arange(0, BANDS * ROWS, ROWS)
     for batch in batches:
         sids, keys = [], []
+        data, offsets = tokens.utf8(batch.column("text"))
+        whole, cuts = data.tobytes().translate(tokens.LOWER_BYTES), offsets.tolist()
+        fps = np.array([simhash.fingerprint(whole[a:b], size) for a, b in zip(cuts, cuts[1:], strict=False)], dtype=np.uint64).view(np.int64)
         for found in shingle_sets(batch.column("text"), size):
             sids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             if len(found):
@@ -60,7 +65,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             else:
                 keys.append(np.empty(0, dtype=np.int64))
         sid = pa.array(np.array(sids, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), sid, pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), sid, pa.array(fps), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -164,23 +169,26 @@ def _identity():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bucket: int = BUCKET, bands: int = BANDS) -> DataFrame:
     """(doc_id, th) of the rows that go: all but the one of smallest id of each group that similar pairs make.
 
-    Equal sets are one node, so copies are never paired with one another. Buckets
+    Candidates share a covering table's bucket of their SimHash, or one of ``bands`` MinHash bands. Equal sets are one node, so copies are never paired with one another. Buckets
     of the same members, told by their number and two hashes of them, are
     compared once.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = saved(texts.mapInArrow(lambda it: _signatures(it, size), f"doc_id {kind}, th bigint, sid bigint, keys array<bigint>"), "signatures")
+    rows = saved(texts.mapInArrow(lambda it: _signatures(it, size), f"doc_id {kind}, th bigint, sid bigint, fp bigint, keys array<bigint>"), "signatures")
     total = rows.count()
-    nodes = saved(rows.groupBy("sid").agg(F.min(_identity()).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
-    entries = nodes.select("sid", F.posexplode("keys").alias("band", "key")).select("sid", F.xxhash64("band", "key").alias("bucket"))
+    nodes = saved(rows.groupBy("sid").agg(F.min(_identity()).alias("rep"), F.count("*").alias("copies"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    tables = F.transform(F.expr(simhash._keyed(simhash.covering_masks(list(range(64))), "t", "key")), lambda k: F.xxhash64(F.lit("simhash"), k["t"], k["key"]))
+    kept = F.transform(F.slice("keys", 1, bands), lambda key, band: F.xxhash64(band, key))
+    entries = nodes.filter(F.size("keys") > 0).select("sid", F.explode(F.array_distinct(F.concat(tables, kept))).alias("bucket"))
+    every = len(simhash.covering_masks(list(range(64)))) + bands
     marks = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sid").alias("pivot"), *marks).filter("n > 1")
     shared = saved(shared.dropDuplicates(["n", "pivot", "mark1", "mark2"]).select("bucket", "n", "pivot"), "buckets")
-    dealt = saved(lookup(entries, shared, "bucket", "n", total * BANDS), "dealt")
+    dealt = saved(lookup(entries, shared, "bucket", "n", total * every), "dealt")
     wanted = nodes.join(dealt.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("rep_id")) & (texts["th"] == F.col("rep_th"))).select("sid", "text")
     sets = saved(chosen.mapInArrow(lambda it: _sets(it, size), "sid bigint, grams binary"), "sets").dropDuplicates(["sid"])

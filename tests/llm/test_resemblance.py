@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from marlstone.llm import resemblance
+from marlstone.llm import resemblance, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, th string"
 
@@ -89,3 +89,17 @@ def resemblance_set(s):
     """1 to 4 are a chain (1-2, 2-3, 3-4 alike, 1-4 not), 5 to 7 are equal but for one value, 8 is alone."""
     first = {1: 0, 2: 8, 3: 16, 4: 24, 5: 1000, 6: 1001, 7: 1002, 8: 5000}[s]
     return np.arange(first, first + 100, dtype=np.uint64).tobytes()
+
+
+def test_simhash_finds_near_copies_by_itself(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join([*words[:450], "changed", *words[451:]])), (200 + k, " ".join(f"w{rng.randrange(5000)}" for _ in range(50)))]
+    rows += [(300, ""), (301, None), (302, "one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = {i: simhash.fingerprint((t or "").encode(), resemblance.SHINGLE) for i, t in rows}
+    near = {100 + k for k in range(12) if (prints[k] ^ prints[100 + k]).bit_count() <= simhash.RADIUS}
+    gone = {r["doc_id"] for r in resemblance.near_copies(docs, bands=0).collect()} - {301}
+    assert near and near <= gone <= {100 + k for k in range(12)}
