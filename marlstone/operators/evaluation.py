@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.relational import numbered, ranked
+from marlstone.session import kept
 
 #: Errors that a failed label set names; all are counted.
 NAMED = 20
@@ -41,9 +42,19 @@ def target_ranks(queries: DataFrame, relevant: DataFrame, rank_fn: Callable[[Dat
     ``rank_fn`` takes (qid, query) and returns (qid, key, score); ties go to the
     smaller key. ``relevant`` has qid and key.
     """
-    order = ranked(rank_fn(queries), [F.col("score").desc(), F.col("key")], ["qid"])
-    best = order.join(relevant, ["qid", "key"]).groupBy("qid").agg(F.min("rank").alias("rank"))
-    return queries.select("qid").join(best, "qid", "left")
+    return queries.select("qid").join(best_ranks(rank_fn(queries), relevant), "qid", "left")
+
+
+def best_ranks(scored: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(qid, rank): the place of each query's first relevant key in (qid, key, score), by score, then the smaller key.
+
+    The place is one more than the number of keys before it, so nothing is sorted; only the first relevant keys, one a query, are handed round.
+    """
+    scored = kept(scored, "scored")  # two readers
+    place = F.struct((-F.col("score")).alias("down"), "key")
+    first = scored.join(relevant, ["qid", "key"]).groupBy("qid").agg(F.min(place).alias("__first"))
+    met = scored.join(F.broadcast(first), "qid")
+    return met.groupBy("qid").agg((F.count_if(place < F.col("__first")) + 1).alias("rank"))
 
 
 def rank_metrics(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from marlstone.operators import recommend, vectors
+from marlstone.functions import text
+from marlstone.operators import evaluation, lexical, recommend, vectors
 
 
 def brute(x, owner, banned, ids, y, bias, k):
@@ -44,3 +45,35 @@ def test_groups_are_whole_across_batches(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {tuple(r) for r in df.groupBy("g").agg(F.max("x"), F.count("*")).collect()}
+
+
+def test_a_stored_index_has_more_ranges_for_more_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "RANGE", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(20))) for i in range(60)], "id bigint, text string")
+    lexical.build(docs, "id", "text").save(str(tmp_path / "ix"), files=2)
+    stored = lexical.load(spark, str(tmp_path / "ix"))
+    assert len(list((tmp_path / "ix" / "postings").glob("part-*"))) > 10  # 1,200 postings
+    asked = spark.createDataFrame([(1, "w3 w9")], "q int, t string")
+    want = {r["key"]: r["lexical"] for r in lexical.search(lexical.build(docs, "id", "text"), asked, "q", "t").collect()}
+    got = {r["key"]: r["lexical"] for r in lexical.search(stored, asked, "q", "t").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_batches_are_worked_on_in_short_runs():
+    texts = pa.array(["é" * 400_000, None, "", "naïve", "plain"] * 3, pa.string())
+    assert text._plain(texts).to_pylist() == [t if t is None else text.without_accents(t) for t in texts.to_pylist()]
+    assert text._plain(texts.slice(3, 1)).to_pylist() == ["naive"]
+
+
+def test_best_ranks_count_what_stands_before(spark):
+    rng = np.random.default_rng(4)
+    scored = [(q, k, float(rng.integers(0, 5))) for q in range(6) for k in range(30)]
+    relevant = [(q, int(k)) for q in range(5) for k in rng.integers(0, 40, 3)]
+    got = evaluation.best_ranks(spark.createDataFrame(scored, "qid int, key int, score double"), spark.createDataFrame(relevant, "qid int, key int"))
+    want = {}
+    for q in range(6):
+        order = [k for _, k in sorted((-s, k) for p, k, s in scored if p == q)]
+        places = [order.index(k) + 1 for p, k in relevant if p == q and k in order]
+        if places:
+            want[q] = min(places)
+    assert {r["qid"]: r["rank"] for r in got.collect()} == want
