@@ -172,6 +172,48 @@ def test_factors_beat_the_mean(spark):
     assert 0 < out["mae"] < out["rmse"] and out["n"] > 500 and abs(out["rmse"] / out["rmse_of_mean"] - 1) < 0.2
 
 
+def test_ratings_are_joined_once(spark, data):
+    """The ratings are put together once: joined, dealt by item, and dealt by the library; not once for each reader."""
+    sc, group = spark.sparkContext, "als_residual"
+    off = {k: "-1" for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    before = {k: spark.conf.get(k, None) for k in off}
+    sc.setJobGroup(group, group)
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan(spark, "als_residual")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteRecords() for i in {i for j in jobs for i in j.stageIds})
+    assert len(data[0]) < written < 4 * len(data[0])
+
+
+@pytest.mark.parametrize("step", [1, 10_000_000])
+def test_item_blocks_do_not_change_the_factors(spark, step):
+    """Whether items are dealt by range or, if their numbers are too wide, by remainder: as the library by itself."""
+    from pyspark.ml.recommendation import ALS
+    from pyspark.sql import functions as F
+
+    rated = ratings(spark, SF).select("user_id", (F.col("item_id") * step).alias("item_id"), "rating", (F.col("line_id") % 5 == 0).alias("held"))
+    got_rows = R.item_sums(rated, ~F.col("held"))
+    rows = [tuple(r) for r in rated.filter("NOT held").select("user_id", "item_id", "rating").collect()]
+    mu, by_item = np.mean([r for _, _, r in rows]), defaultdict(list)
+    for _, i, r in rows:
+        by_item[i].append(r - mu)
+    bi = {i: sum(d) / (len(d) + R.DAMPING) for i, d in by_item.items()}
+    left = spark.createDataFrame([(u, i, float(r - mu - bi[i])) for u, i, r in rows], "user_id int, item_id int, rating float")
+    want = ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=8, maxIter=6, regParam=0.2, seed=7).fit(left)
+    got_mu, items, users = R.residual_factors(got_rows.filter("NOT held"))
+    items, users = {r["item_id"]: r for r in items.collect()}, {r["user_id"]: r["p"] for r in users.collect()}
+    assert np.isclose(got_mu, mu) and items.keys() == bi.keys() and all(np.isclose(items[i]["bi"], bi[i]) for i in bi)
+    plain_items, plain_users = ({r["id"]: r["features"] for r in f.collect()} for f in (want.itemFactors, want.userFactors))
+    assert items.keys() == plain_items.keys() and all(np.allclose(items[i]["qi"], plain_items[i], atol=1e-3) for i in items)
+    assert users.keys() == plain_users.keys() and all(np.allclose(users[u], plain_users[u], atol=1e-3) for u in users)
+
+
 def test_diversified_pool(spark, data):
     _, vectors = data
     score = {i: round(float(v @ vectors[0]), 6) for i, v in vectors.items()}
