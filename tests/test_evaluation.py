@@ -144,3 +144,15 @@ def test_labels_and_markup(spark):
     assert got[0]["c"] == "Ada is a pilot of the Owl. See site & more.\n\nEnd." and len(got[1]["c"]) == 19_999
     words = spark.createDataFrame([("Él cáfe und THE night",)], "x string").select(content_words(F.col("x")).alias("w")).first()["w"]
     assert words == ["cafe", "night"]
+
+
+@pytest.mark.parametrize("mode", ["name", "synopsis", "person", "keyword"])
+def test_a_search_broadcasts_no_items(spark, mode):
+    asked = "small red gear" if mode != "person" else "Supplier#00000012"
+    plan = plans.search(spark, SF, asked, mode, filters={"year_min": 1960})._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(plan) if "FileScan" in line and "p_partkey" in line]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i in at:
+        over = [line for j, line in enumerate(plan[:i]) if all(depth(line) < depth(x) for x in plan[j + 1 : i + 1])]
+        assert not any("BroadcastExchange" in line for line in over), mode
+    assert at
