@@ -77,3 +77,15 @@ def test_best_ranks_count_what_stands_before(spark):
         if places:
             want[q] = min(places)
     assert {r["qid"]: r["rank"] for r in got.collect()} == want
+
+
+def test_strips_lose_no_score_that_reaches_its_bound():
+    rng = np.random.default_rng(9)
+    for columns in (1, 63, 64, 200):
+        s = rng.normal(size=(columns, 7)).astype(np.float32)
+        s[rng.random(s.shape) < 0.05] = np.nan
+        s[rng.random(s.shape) < 0.05] = -np.inf
+        s[rng.random(s.shape) < 0.05] = np.inf
+        bound = np.array([-np.inf, -1, 0, 1, 2, np.inf, np.nan], np.float32)
+        row, column = vectors._reaching(s, bound)
+        assert sorted(zip(row.tolist(), column.tolist(), strict=True)) == sorted((q, c) for q in range(7) for c in range(columns) if s[c, q] >= bound[q] and s[c, q] > -np.inf)

@@ -240,3 +240,12 @@ def test_a_user_across_batches(spark):
         x = np.array([q[i] for w, i, _ in rated if w == u])
         y = np.array([r - 3.1 for w, _, r in rated if w == u])
         assert np.allclose(got[u], np.linalg.solve(x.T @ x + 0.5 * np.eye(3), x.T @ y))
+
+
+def test_clustering_stops_when_no_row_moves(monkeypatch):
+    x, w = np.repeat(np.eye(3), 4, axis=0), np.arange(1.0, 13.0)
+    products = []
+    monkeypatch.setattr(R.np, "argmax", lambda *a, f=np.argmax, **k: products.append(1) or f(*a, **k))
+    centres, near = R.lloyd(x, w, 3, 50)
+    first = R.lloyd(x, w, 3, 2)
+    assert len(products) < 20 and (near == first[1]).all() and np.array_equal(centres, first[0])
